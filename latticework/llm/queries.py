@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import chat, langid, lines, packing, pii, piece
+from latticework.llm import chat, fingerprint, langid, lines, packing, pii, piece
 from latticework.llm.runtime import prepare, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digests(pii.find(docs, pii.learn(docs)))
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op10_chat_format": op10_chat_format,
 }
