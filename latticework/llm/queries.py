@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import chat, fingerprint, langid, lines, packing, pii, piece
+from latticework.llm import chat, fingerprint, langid, lines, minhash, packing, pii, piece
 from latticework.llm.runtime import prepare, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.learn(docs)))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
+    "op9_minhash": op9_minhash,
     "op10_chat_format": op10_chat_format,
 }
 SQL = {"op3_line_dedup": lines.SQL, "op10_chat_format": chat.SQL}
