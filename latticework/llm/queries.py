@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import chat, fingerprint, langid, lines, minhash, packing, pii, piece, vectors
+from latticework.llm import chat, fingerprint, langid, lines, minhash, packing, pii, piece, repeats, vectors
 from latticework.llm.runtime import prepare, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_repeats": op5_repeats,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
