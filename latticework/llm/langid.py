@@ -213,7 +213,7 @@ def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, .
             whole = [t if t is not None else "" for t in pdf["text"]]
             for lo, hi in slices(whole):
                 total, lettered = scorer.score(whole[lo:hi])
-                part = pdf.iloc[lo:hi].drop(columns="text")
+                part = pdf.iloc[lo:hi][list(keep)]
                 if not len(names):
                     yield part.assign(lang_pred="und", score=0.0)
                     continue
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, .
                 score = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
                 yield part.assign(lang_pred=np.where(lettered, names[best], "und"), score=np.where(lettered, score, 0.0))
 
-    picked = docs.select(*keep, "text")
+    picked = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return picked.mapInPandas(run, f"{schema}, lang_pred string, score double")
 
