@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
-from contextlib import contextmanager
 
-import latticework
 from pyspark.sql import DataFrame, SparkSession
 
+import latticework
+from latticework.plans.store import Store  # noqa: F401
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(latticework.__file__)))
 
 
@@ -21,37 +21,6 @@ def prepare(spark: SparkSession, batch_rows: int = 2000) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, else one set here (as in tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            at = got.get()
-        else:
-            at = "/tmp/checkpoints"
-            spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-class Store:
-    """Named intermediate tables in the shared folder, removed when they have served."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-
-    def put(self, name: str, df: DataFrame, **kw) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.components import components, stars
+from latticework.plans.components import components, stars
 from latticework.llm.runtime import Store, prepare
 
 BLOCK, TILE = 8, 4096
