@@ -220,13 +220,14 @@ def common_subgraphs(nodes: dict, edges: set, template: dict, template_edges: se
     return maximum_cliques(adjacency)
 
 
-def cover(items: set, options: list[list]) -> list[int] | None:
+def cover(items: set, options: list[list], start: int = 0) -> list[int] | None:
     """Indices of options that cover each item exactly once, lowest indices preferred; None if there are none."""
     if not items:
         return []
-    for i, o in enumerate(options):
-        if o and set(o) <= items:
-            rest = cover(items - set(o), options[i:])
+    for i in range(start, len(options)):
+        o = set(options[i])
+        if o and o <= items:
+            rest = cover(items - o, options, i + 1)
             if rest is not None:
                 return [i, *rest]
     return None

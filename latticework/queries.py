@@ -272,7 +272,7 @@ SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, CAST(coalesce(line, l_linen
  CASE WHEN l_orderkey IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'extra' ELSE 'found' END AS state
 FROM t FULL OUTER JOIN f ON o_orderkey = l_orderkey AND line = l_linenumber""")
 def repair_outer(spark, sf_dir):
-    want = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.explode(F.sequence(F.lit(1), F.lit(4))).cast("bigint").alias("line"))
+    want = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("line"))
     have = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").cast("bigint").alias("line"))
     return match.compare_with_template(have, want, ["orderkey", "line"])
 
@@ -392,7 +392,7 @@ def islands(spark, sf_dir):
     return ordered.islands(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], ["user_id"])
 
 
-@query("""WITH m AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || l_returnflag, ',' ORDER BY l_linenumber) AS shape FROM lineitem GROUP BY 1), f AS (SELECT shape, min(l_orderkey) AS k FROM m GROUP BY 1),
+@query("""WITH m AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || l_returnflag, ',' ORDER BY l_linenumber, CAST(l_linenumber AS VARCHAR) || l_returnflag) AS shape FROM lineitem GROUP BY 1), f AS (SELECT shape, min(l_orderkey) AS k FROM m GROUP BY 1),
 r AS (SELECT shape, row_number() OVER (ORDER BY k) - 1 AS shape_id FROM f) SELECT l_orderkey, shape_id FROM m JOIN r ON r.shape = m.shape""")
 def moltype_names(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("a"))
