@@ -238,5 +238,7 @@ def pack(pieces: DataFrame, packers: int, size: int = 2048, open_bins: int = 409
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, separator: int = 0, open_bins: int = 4096, keep_ids: bool = False) -> DataFrame:
-    packers = min(MOST_PACKERS, plan_bytes(docs) // PACKER_BYTES + 1)
+    size_known = plan_bytes(docs)
+    packers = size_known // PACKER_BYTES + 1 if size_known < 1 << 50 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packers = min(MOST_PACKERS, packers)
     return pack(cut_pieces(docs, path, size, separator, keep_ids), packers, size, open_bins)
