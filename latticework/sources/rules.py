@@ -486,15 +486,15 @@ def mapping_table(spark: SparkSession, mappings: list[Mapping]) -> DataFrame:
     return spark.createDataFrame([r for m in mappings for r in m.rows()], "resname string, atomname string, bead string, weight double, bead_order int")
 
 
-def read_map(text: str) -> list[Mapping]:
-    """Legacy block mappings: an atom's listed beads share it by how often each is listed; !bead weighs nothing."""
-    out, name, froms, tos = [], "", ["universal"], ["martini22"]
+def read_map(text: str, defaults: tuple[str, str] = ("universal", "")) -> list[Mapping]:
+    """Legacy block mappings (`defaults`: the force fields of a block that names none): an atom's listed beads share it by how often each is listed; !bead weighs nothing."""
+    out, name, froms, tos = [], "", [defaults[0]], [defaults[1]]
     now: Mapping | None = None
     for section, line, _ in sections(text):
         words = line.split()
         if not line:
             if section == "molecule":
-                froms, tos, now = ["universal"], ["martini22"], None
+                froms, tos, now = [defaults[0]], [defaults[1]], None
             elif section in ("from", "to"):
                 (froms if section == "from" else tos).clear()
             elif section == "atoms":
