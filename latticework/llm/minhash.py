@@ -9,11 +9,14 @@ once all are filled. Each coordinate of two sketches agrees with probability
 equal to the Jaccard similarity, with concentration.
 
 32 bands of 4 coordinates propose pairs. Documents with the same set are one
-class, so copies cost one row. A bucket first proposes two stars (all members
-with its smallest and its largest id), which are confirmed on full sets; in
-buckets whose members still hang in several components, the remaining pairs
-across components follow, kept if their sketches agree in at least 64
-coordinates (at similarity 0.75 some 96 are expected, so six deviations more).
+class, so copies cost one row. A bucket first proposes a star (its smallest
+id with all other members), confirmed on full sets. Buckets whose members then
+hang in several components propose further stars, each with a random centre of
+its own and only across components, so that a dense group comes together
+without its pairs being listed. What still stands apart is compared pair by
+pair across components, where sketches of 1024 coordinates agree in 706 (at
+similarity 0.75 some 768 are expected, so 4.5 deviations more); this happens
+block by block inside a task, so only pairs that agree become rows.
 A pair of similarity 0.75 meets in no band with probability 5e-6, a likelier
 one with less.
 
@@ -39,8 +42,12 @@ from latticework.llm.runtime import Store, prepare
 WORDS, PERCENT = 5, 75
 COORDS, BANDS = 128, 32
 ROWS = COORDS // BANDS
-#: Coordinates that must agree before a pair across components is confirmed on full sets.
-AGREE = 64
+#: Further rounds of stars with random centres.
+STARS = 1
+#: Coordinates of the wide sketch, and how many must agree before a pair across components is confirmed on full sets.
+WIDE, AGREE = 1024, 706
+#: Members of a bucket that are compared in one block.
+TILE = 1024
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,7 +56,7 @@ _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 2**63, size=256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
 _STEP = _rng.integers(0, 2**63, size=WORDS, dtype=np.uint64) | np.uint64(1)
-_SALT = mix(np.arange(2 * COORDS, dtype=np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
+_SALT = mix(np.arange(2 * WIDE, dtype=np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,23 +96,23 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
-def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """[texts, COORDS] of the sets; a row of an empty set has no meaning."""
+def sketches(values: np.ndarray, counts: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """[texts, coords] of the sets; a row of an empty set has no meaning."""
     n = len(counts)
-    out = np.full(n * COORDS, np.uint64(2**64 - 1), dtype=np.uint64)
+    none = np.uint64(2**64 - 1)
+    out = np.full(n * coords, none, dtype=np.uint64)
     doc = np.repeat(np.arange(n), counts)
     live = values
-    for r in range(2 * COORDS):
+    for r in range(2 * coords):
         h = mix(live ^ _SALT[r])
-        bin_ = (h & np.uint64(COORDS - 1)).astype(np.int64) if r < COORDS else np.full(len(h), r - COORDS)
-        np.minimum.at(out, doc * COORDS + bin_, (np.uint64(r) << np.uint64(55)) | (h >> np.uint64(9)))
+        bin_ = (h & np.uint64(coords - 1)).astype(np.int64) if r < coords else np.full(len(h), r - coords)
+        np.minimum.at(out, doc * coords + bin_, (np.uint64(r) << np.uint64(52)) | (h >> np.uint64(12)))
         if r % 4 == 1 or r < 4:
-            open_ = (out.reshape(n, COORDS) == np.uint64(2**64 - 1)).any(axis=1)
-            keep = open_[doc]
+            keep = (out.reshape(n, coords) == none).any(axis=1)[doc]
             live, doc = live[keep], doc[keep]
         if not len(live):
             break
-    return mix(out).reshape(n, COORDS)
+    return mix(out).reshape(n, coords)
 
 
 def _digest_sets(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def _digest_sets(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set), bands, low (one byte of each coordinate)."""
+    """doc_id, n_shingles, s1, s2 (hash of the set), bands."""
     prepare(docs.sparkSession, 2000)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,10 +143,10 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[lo:hi].array, "n_shingles": counts, "s1": s1.view(np.int64), "s2": s2.view(np.int64),
-                    "bands": list(bands.view(np.int64)), "low": [x.tobytes() for x in (k & np.uint64(255)).astype(np.uint8)],
+                    "bands": list(bands.view(np.int64)),
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, low binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -176,6 +183,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
+def _wide_sketches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["members"]]
+        if sets:
+            k = sketches(np.concatenate(sets), np.array([len(x) for x in sets]), WIDE)
+            yield pd.DataFrame({"node": pdf["node"], "wide": [x.tobytes() for x in (k & np.uint64(255)).astype(np.uint8)]})
+
+
+def _across(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a block whose wide sketches agree enough: different components, fitting sizes, first common bucket."""
+    keys, held = ["bucket", "ti", "tj"], None
+    for pdf in batches:
+        both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(both):
+            continue
+        k = both[keys].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        blocks = np.split(np.arange(len(both)), cuts)
+        for at in blocks[:-1]:
+            yield _block_pairs(both.iloc[at])
+        held = both.iloc[blocks[-1]].reset_index(drop=True)
+    if held is not None:
+        yield _block_pairs(held)
+
+
+def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    bucket, i, j = (int(block[c].iloc[0]) for c in ("bucket", "ti", "tj"))
+    node, n, comp, tile = (block[c].to_numpy() for c in ("node", "n", "component", "tile"))
+    wide = np.frombuffer(b"".join(block["wide"]), dtype=np.uint8).reshape(-1, WIDE)
+    bands = np.stack(block["bands"].to_list())
+    right = np.flatnonzero(tile == j)
+    out_a, out_b = [], []
+    for u in np.flatnonzero(tile == i):
+        v = right[right > u] if i == j else right
+        v = v[(comp[v] != comp[u]) & (np.minimum(n[v], n[u]) * 100 >= np.maximum(n[v], n[u]) * PERCENT)]
+        if len(v):
+            v = v[(wide[v] == wide[u]).sum(axis=1) >= AGREE]
+        if len(v):
+            common = bands[v] == bands[u]
+            v = v[bands[v][np.arange(len(v)), common.argmax(axis=1)] == bucket]
+            out_a.append(np.minimum(node[v], node[u]))
+            out_b.append(np.maximum(node[v], node[u]))
+    none = np.zeros(0, dtype=np.int64)
+    return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
 def _could(n: str, m: str):
     """Sizes that a similar pair can have."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
@@ -187,45 +240,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     store = Store(spark)
     sketch = store.put("sketch", sketch_documents(docs))
     classes = store.put("classes", sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     band = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    ends = band.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where(F.col("lo.node") < F.col("hi.node"))
-    member = store.put("members", band.join(store.put("ends", ends), "bucket"))
+    ends = band.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lo"), F.max("node").alias("hi")).where(F.col("lo.node") < F.col("hi"))
+    member = store.put("members", band.join(store.put("ends", ends.drop("hi")), "bucket"))
     store.drop("ends")
-
-    def star(c: str) -> DataFrame:
-        return member.where((F.col("node") != F.col(f"{c}.node")) & _could("n", f"{c}.n")).select(
-            F.least("node", f"{c}.node").alias("a"), F.greatest("node", f"{c}.node").alias("b"))
-
-    first = store.put("pairs1", star("lo").union(star("hi")).distinct())
-    needed = member.select("node").distinct()
-    rows = docs.select("doc_id", "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    first = member.where((F.col("node") != F.col("lo.node")) & _could("n", "lo.n")).select(F.col("lo.node").alias("a"), F.col("node").alias("b")).distinct()
+    first = store.put("pairs0", first)
+    rows = docs.select("doc_id", "text").join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = store.put("sets", full_sets(rows).dropDuplicates(["node"]))
-    links = store.put("links1", _verified(first, sets))
-
-    now = components(links, store)
-    now = store.put("now", now)
-    tagged = member.select("bucket", "node", "n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = tagged.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y and k > 2")
-    rest = store.put("rest", tagged.join(split.select("bucket"), "bucket").join(classes.select("node", "low"), "node"))
-    left = rest.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("low").alias("la"))
-    right = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("low").alias("lb"))
-    across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _could("na", "nb"))
-
-    def agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.frombuffer(b"".join(pdf["la"]), dtype=np.uint8).reshape(-1, COORDS)
-                y = np.frombuffer(b"".join(pdf["lb"]), dtype=np.uint8).reshape(-1, COORDS)
-                yield pdf.loc[(x == y).sum(axis=1) >= AGREE, ["a", "b"]]
-
+    links = store.put("links0", _verified(first, sets))
+    now = store.put("now0", components(links, store))
+    asked = first
+
+    def split(i: int) -> DataFrame:
+        """Members of the buckets that still hold several components."""
+        tagged = store.put(f"tagged{i}", member.select("bucket", "node", "n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        several = tagged.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y and k > 2")
+        return tagged.join(several.select("bucket"), "bucket")
+
+    for i in range(1, STARS + 1):
+        held = store.put(f"split{i}", split(i))
+        centre = held.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(i), "bucket", "node")).alias("c"))
+        star = held.join(store.put(f"centre{i}", centre), "bucket").where((F.col("component") != F.col("c.component")) & _could("n", "c.n"))
+        pairs = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        pairs = store.put(f"pairs{i}", pairs)
+        links = links.union(store.put(f"links{i}", _verified(pairs, sets)))
+        now = store.put(f"now{i}", components(links, store))
+        asked = asked.union(pairs)
+        for name in ("tagged", "split", "centre"):
+            store.drop(f"{name}{i}")
+
+    rest = store.put("rest", split(STARS + 1))
+    wide = sets.join(rest.select("node").distinct(), "node").mapInPandas(_wide_sketches, "node bigint, wide binary")
+    wide = store.put("wide", wide.join(classes.select("node", "bands"), "node"))
+    crowded = rest.groupBy("bucket").count().where(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    dealt = rest.join(wide, "node").join(store.put("crowded", crowded), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")}).select("bucket", "ti", "tj", "tile", "node", "n", "component", "wide", "bands")
+    keys = ["bucket", "ti", "tj"]
     prepare(spark, 2000)
-    second = across.select("a", "b", "la", "lb").mapInPandas(agree, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
-    second = store.put("pairs2", second)
-    more = store.put("links2", _verified(second, sets))
+    across = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).mapInPandas(_across, "a bigint, b bigint")
+    second = across.distinct().join(asked, ["a", "b"], "left_anti")
+    second = store.put("second", second)
+    more = store.put("more", _verified(second, sets))
     final = components(links.union(more), store) if not more.isEmpty() else now
     named = store.put("named", classes.select("s1", "s2", "node").join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")))
-    for name in ("classes", "members", "pairs1", "pairs2", "sets", "links1", "links2", "now", "rest", "cc0"):
+    done = [f"{n}{i}" for n in ("pairs", "links", "now") for i in range(STARS + 1)]
+    for name in ("classes", "members", "sets", "second", "more", "rest", "wide", "crowded", f"tagged{STARS + 1}", "cc0", *done):
         store.drop(name)
     out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
