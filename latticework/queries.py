@@ -557,6 +557,43 @@ def warning_gate(spark, sf_dir):
     return molecules.remaining_messages(messages, "level", {"error": 10, "click": None})
 
 
+# --- networks and sites -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS ({_LATTICE}), gone AS (SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_nationkey BETWEEN 3 AND 9) OR c_nationkey BETWEEN 20 AND 22)
+SELECT u, v FROM e WHERE u NOT IN (SELECT c_custkey FROM gone) AND v NOT IN (SELECT c_custkey FROM gone)""")
+def disorder_removal(spark, sf_dir):
+    residues = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("chain"), F.col("c_nationkey").alias("resid"))
+    return network.drop_disordered(_lattice(spark, sf_dir), residues, [("BUILDING", 9, 3), (None, 20, 22)]).select("u", "v")
+
+
+@query("SELECT o_custkey AS mol_id, o_orderkey AS atom, '1 POSRES_FC POSRES_FC POSRES_FC' AS params FROM orders WHERE o_orderstatus = 'O'")
+def position_restraints(spark, sf_dir):
+    atoms = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mol_id"), F.col("o_orderkey").alias("node"), "o_orderstatus")
+    made = molecules.position_restraints(atoms, F.col("o_orderstatus") == "O", 1000.0)
+    return made.select("mol_id", F.col("atoms")[0].alias("atom"), F.array_join("params", " ").alias("params"))
+
+
+@query("""WITH m AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1)
+SELECT o.o_custkey AS mol_id, last + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderkey) AS site, o_orderkey AS anchor FROM orders o JOIN m ON m.o_custkey = o.o_custkey WHERE o_orderstatus = 'F'""")
+def virtual_sites(spark, sf_dir):
+    atoms = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mol_id"), F.col("o_orderkey").alias("node"), F.col("o_orderstatus").alias("atomname"), F.col("o_orderpriority").alias("atype"), F.lit(1).cast("bigint").alias("charge_group"))
+    return molecules.virtual_sites(atoms, "mol", anchor="F")[1].select("mol_id", F.col("atoms")[0].alias("site"), F.col("atoms")[1].alias("anchor"))
+
+
+@query(f"""WITH {P} SELECT a.vec_id AS node_a, b.vec_id AS node_b, floor({D} / pow(2.0, 1.0/6) * 1e6 + 0.5) / 1e6 AS sigma FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 AND {D} > 0.05 AND {D} < 0.2""")
+def go_pairs(spark, sf_dir):
+    p = points(spark, sf_dir)
+    residues = p.select(F.col("vec_id").alias("resid"), F.col("label").cast("string").alias("chain"), F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("atype"), F.col("vec_id").alias("node"), *"xyz")
+    who = p.select(F.col("vec_id").alias("r"), F.col("label").cast("string").alias("c"))
+    nxt = p.select((F.col("vec_id") - 1).alias("r"), F.col("vec_id").alias("r2"), F.col("label").cast("string").alias("c2"))
+    there = who.join(nxt, "r").select(F.col("r").alias("resid_a"), F.col("c").alias("chain_a"), F.col("r2").alias("resid_b"), F.col("c2").alias("chain_b"))
+    back = there.where("resid_a % 2 = 0").select(F.col("resid_b").alias("resid_a"), F.col("chain_b").alias("chain_a"), F.col("resid_a").alias("resid_b"), F.col("chain_a").alias("chain_b"))
+    none = residues.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    out = network.go_pairs(there.union(back), residues, none, low=0.05, up=0.2)
+    return out.select("node_a", "node_b", geo.quantise(F.col("sigma")).alias("sigma"))
+
+
 # --- searches without SQL ---------------------------------------------------------------------------------------
 
 
