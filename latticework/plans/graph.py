@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.plans.store import Store
+
 
 def both_ways(edges: DataFrame, u: str = "u", v: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
     """Every edge in both directions, as u and v."""
@@ -17,16 +19,19 @@ def both_ways(edges: DataFrame, u: str = "u", v: str = "v", keys: tuple[str, ...
 def k_hop(edges: DataFrame, hops: int, keys: tuple[str, ...] = (), sources: DataFrame | None = None) -> DataFrame:
     """keys, src, dst, depth: nodes within `hops` of each source, with the least depth; depth 0 is the node itself.
 
-    edges must be symmetric (`both_ways`). Each hop joins only the frontier found last.
+    edges must be symmetric (`both_ways`). Each hop joins only the frontier found last, which is written to the
+    shared folder, so that no hop computes the ones before it again.
     """
     k = list(keys)
+    store = Store(edges.sparkSession)
+    edges = store.put("edges", edges)
     start = sources.select(*k, "src") if sources is not None else edges.select(*k, F.col("u").alias("src")).distinct()
     frontier = start.select(*k, "src", F.col("src").alias("dst"))
     reached = frontier.withColumn("depth", F.lit(0))
     step = edges.select(*k, F.col("u").alias("dst"), F.col("v").alias("__next"))
     for depth in range(1, hops + 1):
         new = frontier.join(step, [*k, "dst"]).select(*k, "src", F.col("__next").alias("dst")).distinct()
-        frontier = new.join(reached.select(*k, "src", "dst"), [*k, "src", "dst"], "left_anti")
+        frontier = store.put(f"hop{depth}", new.join(reached.select(*k, "src", "dst"), [*k, "src", "dst"], "left_anti"))
         reached = reached.union(frontier.withColumn("depth", F.lit(depth)))
     return reached
 
