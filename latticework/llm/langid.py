@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from latticework.llm.flat import mix, slices, within, word_hashes
 from latticework.llm.piece import MARK, model
-from latticework.llm.runtime import prepare
+from latticework.llm.runtime import prepare, release
 
 LONGEST_WORD, FLOOR = 48, 1e-300
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -221,6 +221,7 @@ def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, .
                 top = total[np.arange(len(total)), best]
                 score = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
                 yield part.assign(lang_pred=np.where(lettered, names[best], "und"), score=np.where(lettered, score, 0.0))
+        release()
 
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from latticework.plans.components import components
 from latticework.llm.flat import mix, slices, within
-from latticework.llm.runtime import Store, prepare
+from latticework.llm.runtime import Store, prepare, release
 
 WORDS, PERCENT = 5, 75
 COORDS, BANDS = 128, 32
@@ -133,7 +133,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             whole = [t if t is not None else "" for t in pdf["text"]]
-            for lo, hi in slices(whole, 2_000_000):
+            for lo, hi in slices(whole):
                 values, counts = shingle_sets(whole[lo:hi])
                 s1, s2 = _digest_sets(values, counts)
                 k = sketches(values, counts)
@@ -145,6 +145,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                     "doc_id": pdf["doc_id"].iloc[lo:hi].array, "n_shingles": counts, "s1": s1.view(np.int64), "s2": s2.view(np.int64),
                     "bands": list(bands.view(np.int64)),
                 })
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
@@ -156,7 +157,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             whole = [t if t is not None else "" for t in pdf["text"]]
-            for lo, hi in slices(whole, 2_000_000):
+            for lo, hi in slices(whole):
                 values, counts = shingle_sets(whole[lo:hi])
                 ends = np.cumsum(counts).tolist()
                 raw = values.tobytes()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.flat import PairTable, WordMemory, encode_words, gather, slices
-from latticework.llm.runtime import plan_bytes, prepare
+from latticework.llm.runtime import plan_bytes, prepare, release
 
 #: Input bytes for one packer, and the most packers.
 PACKER_BYTES, MOST_PACKERS = 64 << 20, 20_000
@@ -182,6 +182,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 2048, separator: int = 0,
                 out = pd.DataFrame(rows, columns=names)
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 

@@ -28,3 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def release() -> None:
+    """Hand memory that a worker has freed back to the machine, as workers live on between stages."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
