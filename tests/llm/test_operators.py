@@ -91,6 +91,30 @@ def test_pii_against_patterns(spark):
     assert pii.digests(pii.find(df.limit(0), pii.learn(df.limit(0)))).count() == 0
 
 
+def test_pii_wider_forms(spark):
+    rng = random.Random(5)
+
+    def card(ok):
+        d = [4, *(rng.randrange(10) for _ in range(14))]
+        d.append(next(x for x in range(10) if (sum(y if i % 2 == 0 else y * 2 - 9 * (y > 4) for i, y in enumerate(reversed([*d, x]))) % 10 == 0) == ok))
+        return ".".join("".join(map(str, d[i : i + 4])) for i in range(0, 16, 4))
+
+    def n(k):
+        return "".join(rng.choice("0123456789") for _ in range(k))
+
+    kinds = [
+        lambda: ("phone", f"({n(3)}) {n(3)}-{n(4)}", True), lambda: ("phone", f"{n(3)}-{n(3)}-{n(4)}", True), lambda: ("phone", f"{n(2)}-{n(3)}-{n(3)}", False),
+        lambda: ("card", card(True), True), lambda: ("card", card(False), False), lambda: ("email", f"u{n(3)} [at] host{n(2)} [dot] org", True), lambda: ("email", f"u{n(3)} [at] host{n(2)}", False),
+    ]
+    made = [rng.choice(kinds)() for _ in range(1500)]
+    df = spark.createDataFrame([(i, f"see {v} for more words") for i, (_, v, _) in enumerate(made)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(df, pii.learn(df))).collect()}
+    for i, (k, v, ok) in enumerate(made):
+        assert got[i] == (f"{k}:4:{4 + len(v)}" if ok else ""), v
+    one = spark.createDataFrame([(0, "pay 4111 1111 1111 1111 now")], "doc_id bigint, text string")
+    assert pii.digests(pii.find(one, pii.learn(df))).first()["spans"] == "card:4:23"
+
+
 def test_boosted_column_equals_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
