@@ -115,6 +115,18 @@ def test_pii_wider_forms(spark):
     assert pii.digests(pii.find(one, pii.learn(df))).first()["spans"] == "card:4:23"
 
 
+def test_pii_spans_end_where_the_token_ends(spark):
+    rng = random.Random(7)
+    token = "".join(rng.choice("ABCDEFabcdef0123456789_-") for _ in range(300))
+    texts = [f"token={token} end", f"key: {token * 50} end", f"{'n' * 70} [at] {'h' * 80} [dot] {'o' * 70} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["c"] for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["start"], s["end"]) for s in got[i]] == [(0, len(t) - 4)]
+    every = pii.PiiModel({"secret": pii.Boosted()}, {"secret": 0.0})
+    assert [r["text"] for r in pii.redact(df.limit(2), every).orderBy("doc_id").collect()] == ["[SECRET] end"] * 2
+
+
 def test_boosted_column_equals_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
