@@ -2,7 +2,7 @@
 
 All stages but the last return the columns of documents. Language ID drops
 documents without a predicted language or with a score under `LEAST_SCORE`;
-line dedup drops boilerplate lines of a source; MinHash near-dedup keeps the
+line dedup drops boilerplate lines of a source, near copies counted as one page; MinHash near-dedup keeps the
 document with the smallest id of each class; personal data is replaced by its
 kind in brackets; packing returns the pieces in their sequences.
 """
@@ -35,7 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(lines.line_dedup(docs))
+    return _documents(lines.line_dedup(docs, near=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

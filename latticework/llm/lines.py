@@ -6,6 +6,12 @@ same text count as one page, in both numbers, so that copies of a page do not
 turn its prose into boilerplate. Lines are compared without outer spaces;
 empty lines are never dropped.
 
+With `near`, near copies count once too. Of the pages that hold a line over the
+ratio, those whose text stands on other such pages of the host to `COPIED` or
+more are copies: all of them together count as one page, in both numbers, so a
+line that only copies share stays in all of them and none is emptied. Text is
+compared by the `SKETCH` smallest hashes of a page's five-word shingles.
+
 Counting shuffles hashes of lines only, pre-aggregated by page. A host has at
 most (lines a page / ratio) boilerplate lines, so they travel as one array a
 host: broadcast while all of them together are below a checked size, else
@@ -26,37 +32,66 @@ from latticework.llm.runtime import Store
 
 #: Boilerplate lines that may be broadcast, 8 bytes each.
 BROADCAST_LINES, SALTS = 200_000, 64
+#: Words of a shingle, shingle hashes that stand for a page, and their share on other pages from which a page is a copy.
+WORDS, SKETCH, COPIED = 5, 32, 2 / 3
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def _pages(docs: DataFrame, host: str, text: str) -> DataFrame:
+    return docs.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(host).alias("__host"), F.xxhash64(F.col(text)).alias("__page"), F.col(text).alias("__text"))
+
+
+def boilerplate(page: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """__host and __drop, the hashes of the host's boilerplate lines."""
-    page = docs.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(host).alias("__host"), F.xxhash64(F.col(text)).alias("__page"), F.col(text).alias("__text"))
     total = page.groupBy("__host").agg(F.count_distinct("__page").alias("__total"))
     line = page.select("__host", "__page", F.explode(F.array_distinct(F.transform(_lines(F.col("__text")), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))))).alias("__line"))
     seen = line.where(F.col("__line").isNotNull()).groupBy("__host", "__line").agg(F.count_distinct("__page").alias("__n")).where(F.col("__n") >= min_pages)
     return seen.join(total, "__host").where(F.col("__n") > ratio * F.col("__total")).groupBy("__host").agg(F.collect_list("__line").alias("__drop"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, lines: str = "n_lines", removed: str = "n_removed") -> DataFrame:
-    """All columns of docs, text without boilerplate lines, and the counts of lines before and of lines removed."""
-    store = Store(docs.sparkSession)
-    drop = store.put("boilerplate", boilerplate(docs, host, text, ratio, min_pages))
+def _with_drop(docs: DataFrame, drop: DataFrame, host: str, text: str) -> DataFrame:
     size = drop.agg(F.coalesce(F.sum(F.size("__drop") + 8), F.lit(0))).first()[0]
+    drop = drop.withColumnRenamed("__host", "__of")
     if size <= BROADCAST_LINES:
-        held = docs.join(F.broadcast(drop), F.col(host) == F.col("__host"), "left")
-    else:
-        dealt = drop.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-        salted = docs.withColumn("__s", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        held = salted.join(dealt, (F.col(host) == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
+        return docs.join(F.broadcast(drop), F.col(host) == F.col("__of"), "left").drop("__of")
+    dealt = drop.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    salted = docs.withColumn("__s", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, (F.col(host) == F.col("__of")) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt", "__of")
+
+
+def _hit(text: str) -> Column:
+    return F.coalesce(F.arrays_overlap(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(F.trim(x))), F.col("__drop")), F.lit(False))
+
+
+def copied_pages(page: DataFrame, drop: DataFrame, store: Store) -> DataFrame:
+    """__host and __page of the pages with lines of drop whose text stands mostly on other such pages of the host."""
+    w = F.filter(F.split(F.lower("__text"), r"\s+"), lambda x: x != "")
+    held = _with_drop(page, drop, "__host", "__text").where(_hit("__text")).select("__host", "__page", w.alias("__w"))
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__w", i, WORDS)))
+    some = F.slice(F.array_sort(F.array_distinct(shingles)), 1, SKETCH)
+    sketch = store.put("line_sketch", held.select("__host", "__page", F.explode(some).alias("__v")).distinct())
+    often = sketch.groupBy("__host", "__v").count().where("count > 1").select("__host", "__v", F.lit(1).alias("__often"))
+    often = store.put("line_often", often)
+    share = sketch.join(often, ["__host", "__v"], "left").groupBy("__host", "__page").agg(F.count("__often").alias("__k"), F.count(F.lit(1)).alias("__n"))
+    return store.put("line_copies", share.where(F.col("__k") >= COPIED * F.col("__n")).select("__host", "__page"))
+
+
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, lines: str = "n_lines", removed: str = "n_removed", near: bool = False) -> DataFrame:
+    """All columns of docs, text without boilerplate lines, and the counts of lines before and of lines removed."""
+    store = Store(docs.sparkSession)
+    page = _pages(docs, host, text)
+    drop = store.put("boilerplate", boilerplate(page, ratio, min_pages))
+    if near:
+        copies = copied_pages(page, drop, store).withColumn("__copy", F.lit(True))
+        counted = page.join(copies, ["__host", "__page"], "left").withColumn("__page", F.when(F.col("__copy"), F.lit(0).cast("bigint")).otherwise(F.col("__page")))
+        drop = store.put("boilerplate_near", boilerplate(counted, ratio, min_pages))
+    held = _with_drop(docs, drop, host, text)
     every = _lines(F.col(text))
-    hashes = F.transform(every, lambda x: F.xxhash64(F.trim(x)))
-    hit = F.coalesce(F.arrays_overlap(hashes, F.col("__drop")), F.lit(False))
     kept = F.filter(every, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("__drop"), F.xxhash64(F.trim(x)))))
-    out = held.withColumn("__kept", F.when(hit, kept))
+    out = held.withColumn("__kept", F.when(_hit(text), kept))
     names = docs.columns
     n = F.coalesce(F.size(every), F.lit(0)).cast("bigint")
     return out.withColumns({lines: F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(n), removed: F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("__kept")).cast("bigint")}).withColumn(

@@ -21,3 +21,27 @@ def test_stages(spark):
     assert 22 not in seen[0] and 23 not in seen[0] and 0 in seen[0]
     assert 20 in seen[2] and 21 not in seen[2]
     assert seen[3][24] == "write to [EMAIL] now please or call"
+
+
+def test_near_copies_keep_their_prose(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+
+    def words(k):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(k))
+
+    menu, passage = "menu of the site", [words(12) for _ in range(5)]
+    rows = [(i, f"{menu}\n{words(40)}\n{words(20)}", "en", "s", 1) for i in range(120)]
+    for i in range(60):
+        lines = [x.split() for x in passage]
+        lines[i % 5][i % 12] = f"changed{i}"
+        rows.append((200 + i, "\n".join([menu, *(" ".join(x) for x in lines)]), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r["doc_id"]: r["text"] for r in p.line_stage(spark, docs, "").collect()}
+    for i, text, *_ in rows:
+        assert out[i] == text.split("\n", 1)[1]
+    left = {r["doc_id"]: r["text"] for r in p.near_duplicate_stage(spark, p.line_stage(spark, docs, ""), "").collect()}
+    assert [(i, len(x.split("\n"))) for i, x in left.items() if i >= 200] == [(200, 5)] and len(left) == 121
