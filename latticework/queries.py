@@ -597,6 +597,13 @@ def go_pairs(spark, sf_dir):
 # --- searches without SQL ---------------------------------------------------------------------------------------
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """Components of the whole order-part graph; `components` takes the few lines that its SQL takes."""
+    e = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+    return connected(e.select(F.col("l_orderkey").cast("bigint").alias("a"), (-F.col("l_partkey") - 1).cast("bigint").alias("b")).distinct(), Store(spark))
+
+
 @query()
 def common_subgraph(spark, sf_dir):
     """The largest common subgraphs of each region's nation ring and a fixed template."""

@@ -38,6 +38,23 @@ def test_components(spark, one_task):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Store(spark), one_task).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components_of_all_lines(spark, tmp_path, monkeypatch, one_task):
+    from latticework import queries
+
+    rng = random.Random(4)
+    lines = [(rng.randrange(60), rng.randrange(80), rng.choice("RAN"), rng.choice("FO"), float(rng.randrange(1, 50))) for _ in range(55)] + [(None, 3, "R", "F", 1.0), (5, None, "R", "F", 1.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(queries, "connected", lambda e, store: components(e, store, one_task))
+    edges = [(o, -p - 1) for o, p, *_ in lines if o is not None and p is not None]
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) > 2
+    assert sorted(rows(queries.QUERIES["components_whole"](spark, str(tmp_path)))) == sorted(want.items())
+
+
 def test_hops_paths_quotient(spark):
     e = graph.both_ways(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (2, 6)], "u bigint, v bigint"))
     hop = {(a, b): d for a, b, d in rows(graph.k_hop(e, 2))}
