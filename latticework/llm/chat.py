@@ -79,7 +79,8 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         attachments = [F.flatten(F.transform("_turns", lambda t: t["attachments"])).alias("attachments"), F.aggregate("_turns", F.lit(0).cast("bigint"), lambda a, t: a + t["attachment_tokens"]).alias("attachment_tokens")]
         more = ["attachments", "attachment_tokens"]
     else:
-        turns = turns.withColumn("_body", escape(F.coalesce(F.col("text"), F.lit(""))))
+        part = F.struct(F.lit("text").alias("type"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))
+        turns = flatten_parts(turns.withColumn("parts", F.array(part).cast(f"array<{PART}>"))).withColumn("_body", F.col("body"))
         attachments, more = [], []
     one = F.struct(
         F.col("turn"), _role(F.col("role")).alias("r"), F.col("_body").alias("b"),

@@ -49,6 +49,14 @@ def test_chat_parts(spark):
     assert "see &lt;|<|image|><|audio|>" in r["formatted"] and [a["ref"] for a in r["attachments"]] == ["a.png", "b.wav"] and r["attachment_tokens"] == 2 * 256 + 50
 
 
+def test_chat_text_goes_through_the_visitor(spark, monkeypatch):
+    seen, visit = [], chat.visit
+    monkeypatch.setattr(chat, "visit", lambda p, units: seen.append(p) or visit(p, units))
+    df = spark.createDataFrame([(1, 0, "user", "a <| b"), (1, 1, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_conversations(df)
+    assert seen and out.columns == ["conv_id", "formatted", "loss"] and "a &lt;| b" in out.first()["formatted"]
+
+
 def test_line_dedup(spark):
     rows = [(i, f"menu\nown {i}\n\nmenu", "h") for i in range(10)] + [(20, "menu\nother", "g"), (21, None, "h"), (22, "menu", None), (23, "", "h")]
     rows += [(30 + i, "copied prose", "h") for i in range(10)]
