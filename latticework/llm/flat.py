@@ -14,7 +14,7 @@ NONE = np.int32(2**31 - 1)
 #: Longest word, in symbols, that is merged in bulk.
 LONGEST = 64
 _rng = np.random.default_rng(20240607)
-_POWERS = _rng.integers(1, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
+_NEAR, _FAR = (_rng.integers(1, 2**63, size=1 << 16, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,9 +37,15 @@ def gather(starts: np.ndarray, lengths: np.ndarray, source: np.ndarray) -> np.nd
     return source[np.repeat(starts, lengths) + within(lengths)]
 
 
+def places(at: np.ndarray) -> np.ndarray:
+    """An odd 64-bit weight for each place below 2^32, without a period."""
+    near = _NEAR[at & 0xFFFF]
+    return near * _FAR[at >> 16] if len(at) and at.max() > 0xFFFF else near
+
+
 def word_hashes(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word (the words fill the array without gaps)."""
-    h = mix(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * _POWERS[within(lengths) % 4096]
+    h = mix(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * places(within(lengths))
     return mix(np.add.reduceat(h, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, dtype=np.uint64)
 
 
@@ -131,29 +137,62 @@ def _merge_block(out, count, starts, lens, which, width, table):
 
 
 class WordMemory:
-    """Ids of the first words that a worker has met, by hash, up to a fixed number."""
+    """Symbols and ids of the first words that a worker has met, by hash, up to a fixed number."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 400_000):
         self.most = most
-        self.hashes, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.count, self.at, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.symbols = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each hash, or -1."""
+    def find(self, hashes: np.ndarray, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Index of each word, or -1; a word is known only if all its symbols are the same."""
         if not len(self.hashes):
             return np.full(len(hashes), -1, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        hit = np.flatnonzero((self.hashes[at] == hashes) & (self.length[at] == lengths))
+        hit = hit[same_words(symbols, starts[hit], self.symbols, self.at[at[hit]], lengths[hit])]
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        out[hit] = at[hit]
+        return out
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         room = self.most - len(self.hashes)
         if room <= 0 or not len(hashes):
             return
-        hashes, count = hashes[:room], count[:room]
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes, kind="stable")
-        start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.hashes, self.start, self.count = all_hashes[order], start[order], np.concatenate([self.count, count])[order]
+        hashes, lengths, count = hashes[:room], lengths[:room], count[:room]
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])[order]
+        self.at = np.concatenate([self.at, len(self.symbols) + np.cumsum(lengths) - lengths])[order]
+        self.count, self.length = np.concatenate([self.count, count])[order], np.concatenate([self.length, lengths])[order]
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
         self.ids = np.concatenate([self.ids, ids[: int(count.sum())]])
+        self.symbols = np.concatenate([self.symbols, symbols[: int(lengths.sum())].astype(np.int32)])
+
+
+def same_words(x: np.ndarray, x_starts: np.ndarray, y: np.ndarray, y_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each word of x has the symbols of its word of y (all lengths above 0)."""
+    if not len(lengths):
+        return np.zeros(0, dtype=bool)
+    inner, ends = within(lengths), np.cumsum(lengths)
+    differ = x[np.repeat(x_starts, lengths) + inner] != y[np.repeat(y_starts, lengths) + inner]
+    if not differ.any():
+        return np.ones(len(lengths), dtype=bool)
+    return ~np.logical_or.reduceat(differ, ends - lengths)
+
+
+def distinct_words(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index of its first word, each word's index) of the distinct words; words that only share a hash stay apart."""
+    hashes, first, back = np.unique(word_hashes(symbols, starts, lengths), return_index=True, return_inverse=True)
+    differ = np.flatnonzero(lengths != lengths[first[back]])
+    alike = np.flatnonzero(lengths == lengths[first[back]])
+    wrong = alike[~same_words(symbols, starts[alike], symbols, starts[first[back[alike]]], lengths[alike])]
+    apart = np.concatenate([differ, wrong])
+    if len(apart):
+        back = back.copy()
+        back[apart] = len(hashes) + np.arange(len(apart))
+        hashes, first = np.concatenate([hashes, np.zeros(len(apart), np.uint64)]), np.concatenate([first, apart])
+    return hashes, first, back
 
 
 def encode_words(symbols: np.ndarray, starts: np.ndarray, table: PairTable, long_word, memory: WordMemory) -> tuple[np.ndarray, np.ndarray]:
@@ -161,14 +200,14 @@ def encode_words(symbols: np.ndarray, starts: np.ndarray, table: PairTable, long
     if not len(starts):
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
     lengths = np.diff(np.concatenate([starts, [len(symbols)]]))
-    hashes, first, back = np.unique(word_hashes(symbols, starts, lengths), return_index=True, return_inverse=True)
-    known = memory.find(hashes)
-    ulen = lengths[first]
+    hashes, first, back = distinct_words(symbols, starts, lengths)
+    ulen, ufrom = lengths[first], starts[first]
+    known = memory.find(hashes, symbols, ufrom, ulen)
     short, long = (known < 0) & (ulen <= LONGEST), (known < 0) & (ulen > LONGEST)
-    s_syms = gather(starts[first[short]], ulen[short], symbols)
+    s_syms = gather(ufrom[short], ulen[short], symbols)
     s_starts = np.cumsum(ulen[short]) - ulen[short]
     ids, count = merge(s_syms, s_starts, ulen[short], table)
-    extra = [np.array(long_word(symbols[starts[first[j]] : starts[first[j]] + ulen[j]]), dtype=np.int32) for j in np.flatnonzero(long)]
+    extra = [np.array(long_word(symbols[ufrom[j] : ufrom[j] + ulen[j]]), dtype=np.int32) for j in np.flatnonzero(long)]
     old = known >= 0
     base = len(memory.ids)
     ucount, ustart = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
@@ -178,7 +217,7 @@ def encode_words(symbols: np.ndarray, starts: np.ndarray, table: PairTable, long
         lens = np.array([len(x) for x in extra])
         ucount[long], ustart[long] = lens, base + len(ids) + np.cumsum(lens) - lens
     source = np.concatenate([memory.ids, ids, *extra])
-    memory.add(hashes[short], ids, count)
+    memory.add(hashes[short], s_syms, ulen[short], ids, count)
     return gather(ustart[back], ucount[back], source), ucount[back]
 
 

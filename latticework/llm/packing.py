@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.flat import PairTable, WordMemory, encode_words, gather, slices
-from latticework.llm.runtime import plan_bytes, prepare, release
+from latticework.llm.runtime import map_frames, plan_bytes, release
 
 #: Input bytes for one packer, and the most packers.
 PACKER_BYTES, MOST_PACKERS = 64 << 20, 20_000
@@ -160,31 +160,29 @@ def tokens(path: str) -> WordTokens:
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 2048, separator: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32 bits, if asked for) of every piece."""
-    prepare(docs.sparkSession, 2000)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokens(path)
         end = np.uint32(separator).tobytes()
         for pdf in batches:
             texts = [x if x is not None else "" for x in pdf["text"]]
-            keys = pdf["doc_id"].tolist() if not pdf["doc_id"].isna().any() else [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
             for lo, hi in slices(texts):
                 ids, ends = t.encode_flat(texts[lo:hi])
                 raw = ids.astype("<u4").tobytes()
-                rows, a = [], 0
-                for key, b in zip(keys[lo:hi], ends.tolist()):
+                rows, row, a = [], [], 0
+                for i, b in enumerate(ends.tolist(), lo):
                     held = raw[4 * a : 4 * b] + end
                     for p, s in enumerate(range(0, len(held), 4 * size)):
                         x = held[s : s + 4 * size]
-                        rows.append((key, p, s // 4, len(x) // 4, zlib.crc32(x), *([x] if keep_ids else [])))
+                        row.append(i)
+                        rows.append((p, s // 4, len(x) // 4, zlib.crc32(x), *([x] if keep_ids else [])))
                     a = b
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                out = pd.DataFrame(rows, columns=names[1:])
+                yield out.assign(doc_id=pdf["doc_id"].array[row])
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 
 
 class OpenBins:
@@ -235,7 +233,7 @@ def pack(pieces: DataFrame, packers: int, size: int = 2048, open_bins: int = 409
             yield pdf.assign(sequence_id=[base + b for b, _ in at], offset=[o for _, o in at])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.mapInPandas(run, f"{schema}, sequence_id bigint, offset bigint").select(*names, "sequence_id", "offset")
+    return map_frames(dealt, run, f"{schema}, sequence_id bigint, offset bigint", 10_000).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, separator: int = 0, open_bins: int = 4096, keep_ids: bool = False) -> DataFrame:
