@@ -3,15 +3,17 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 A word's likelihood in a language is the sum over all its segmentations,
 found by a forward pass over its characters; a text's is the product over its
-words. The forward pass runs over the distinct words of a batch in numpy, and
-a worker remembers a bounded number of words.
+words. The forward pass runs over the distinct words of a batch in numpy; words
+over `LONG` characters take a pass that keeps only as many places as the
+longest piece has characters, so no word is cut. A worker remembers a bounded
+number of words.
 
 Piece probabilities are learned from a bounded sample of labelled rows
 (sample_docs for each language, chosen by a hash of doc_id) and smoothed.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0,
 and so is every text when nothing could be learned; repeated rows are scored
-alike; ties go to the first language in order; a null doc_id counts as the
+alike and null doc_ids leave others as they are; ties go to the first language in order; a null doc_id counts as the
 empty string for the fold; other columns are ignored; an empty table gives no
 rows.
 """
@@ -26,11 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.flat import mix, slices, within, word_hashes
+from latticework.llm.flat import distinct_words, mix, slices
 from latticework.llm.piece import MARK, model
-from latticework.llm.runtime import prepare, release
+from latticework.llm.runtime import map_frames, prepare, release
 
-LONGEST_WORD, FLOOR = 48, 1e-300
+#: Characters of a word up to which words are scored in blocks of one width.
+LONG, FLOOR = 48, 1e-300
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -46,11 +49,10 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def learn(rows: DataFrame, path: str, sample_docs: int = 2000, most_languages: int = 256, smoothing: float = 0.5) -> Languages:
-    """rows: doc_id, text, lang. At most about sample_docs rows of each of the most frequent languages are read."""
-    spark = prepare(rows.sparkSession)
+def learn(rows: DataFrame, path: str, sample_docs: int = 2000, smoothing: float = 0.5) -> Languages:
+    """rows: doc_id, text, lang. At most about sample_docs rows of each language are read."""
     rows = rows.where(F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Languages([], np.zeros((0, 0)), 0.0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
@@ -67,7 +69,7 @@ def learn(rows: DataFrame, path: str, sample_docs: int = 2000, most_languages: i
                     piece, n = np.unique(ids, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "piece": piece, "n": n})
 
-    got = sample.mapInPandas(count, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    got = map_frames(sample, count, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(r["lang"] for r in counts)
     size = len(model(path).width)
     held = np.zeros((size, len(names)))
@@ -87,7 +89,7 @@ class Scorer:
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        pieces = [(p.piece, i) for i, p in enumerate(proto.pieces) if p.type == pb.ModelProto.SentencePiece.NORMAL and len(p.piece) <= LONGEST_WORD]
+        pieces = [(p.piece, i) for i, p in enumerate(proto.pieces) if p.type == pb.ModelProto.SentencePiece.NORMAL]
         self.longest = max(len(x) for x, _ in pieces)
         size = 1 << 18
         self.mask = np.uint64(size - 1)
@@ -126,13 +128,41 @@ class Scorer:
         return out
 
     def forward(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log P(word | language) of words of at most LONGEST_WORD characters: [words, languages]."""
+        """log P(word | language): [words, languages]."""
         out = np.zeros((len(starts), self.k))
-        for lo, hi in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 10), (10, 13), (13, 18), (18, 30), (30, LONGEST_WORD)):
+        for lo, hi in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 10), (10, 13), (13, 18), (18, 30), (30, LONG)):
             pick = np.flatnonzero((lengths > lo) & (lengths <= hi))
             for i in range(0, len(pick), 4000):
                 w = pick[i : i + 4000]
                 out[w] = self._block(code, starts[w], lengths[w], hi)
+        pick = np.flatnonzero(lengths > LONG)
+        for i in range(0, len(pick), 4000):
+            w = pick[i : i + 4000]
+            out[w] = self._ring(code, starts[w], lengths[w])
+        return out
+
+    def _ring(self, code, starts, lengths):
+        """Words of any length: the last places only, scaled at every character."""
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        n, size = len(starts), self.longest
+        alpha, h, log = np.zeros((size, n, self.k)), np.zeros((size, n), dtype=np.uint64), np.zeros((n, self.k))
+        alpha[0] = 1.0
+        for j in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -j, side="left"))  # words longer than j
+            slot = np.arange(max(0, j + 1 - size), j + 1) % size
+            h[j % size] = 0
+            now = h[slot, :live] * _BASE + (code[starts[:live] + j].astype(np.uint64) + np.uint64(1))
+            h[slot, :live] = now
+            row = self._find(now.ravel()).reshape(len(slot), live)
+            p = np.where((row >= 0)[:, :, None], self.p[np.maximum(row, 0)], 0.0)
+            p[-1, row[-1] < 0] = self.unknown
+            new = (alpha[slot, :live] * p).sum(axis=0)
+            log[:live] += np.log(new)
+            alpha[:, :live] /= new
+            alpha[(j + 1) % size, :live] = 1.0
+        out = np.empty_like(log)
+        out[order] = log - 2.0 * lengths[:, None]
         return out
 
     def _block(self, code, starts, lengths, width):
@@ -176,20 +206,16 @@ class Scorer:
         start[0] = True
         starts = np.flatnonzero(start)
         lengths = np.diff(np.concatenate([starts, [len(code)]]))
-        if (lengths > LONGEST_WORD).any():  # a longer run is scored in parts, as all its characters must count
-            parts = -(-lengths // LONGEST_WORD)
-            starts = np.repeat(starts, parts) + within(parts) * LONGEST_WORD
-            lengths = np.diff(np.concatenate([starts, [len(code)]]))
-        hashes, first, back = np.unique(word_hashes(code, starts, lengths), return_index=True, return_inverse=True)
+        hashes, first, back = distinct_words(code, starts, lengths)
         logp = np.zeros((len(hashes), self.k))
         at = np.minimum(np.searchsorted(self.seen, hashes), max(0, len(self.seen) - 1))
-        old = self.seen[at] == hashes if len(self.seen) else np.zeros(len(hashes), dtype=bool)
+        old = (self.seen[at] == hashes) & (hashes != 0) if len(self.seen) else np.zeros(len(hashes), dtype=bool)
+        old &= lengths[first] <= LONG
         logp[old] = self.seen_logp[at[old]]
         new = np.flatnonzero(~old)
         logp[new] = self.forward(code, starts[first[new]], lengths[first[new]])
-        room = self.most - len(self.seen)
-        if room > 0 and len(new):
-            new = new[:room]
+        new = new[lengths[first[new]] <= LONG][: max(0, self.most - len(self.seen))]
+        if len(new):
             joined = np.concatenate([self.seen, hashes[new]])
             order = np.argsort(joined)
             self.seen, self.seen_logp = joined[order], np.concatenate([self.seen_logp, logp[new]])[order]
@@ -225,7 +251,7 @@ def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, .
 
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return picked.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return map_frames(picked, run, f"{schema}, lang_pred string, score double")
 
 
 _SCORERS: dict[tuple[str, int], Scorer] = {}
