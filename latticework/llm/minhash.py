@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.plans.components import components
-from latticework.llm.flat import mix, slices, within
-from latticework.llm.runtime import Store, prepare, release
+from latticework.llm.flat import mix, places, slices, within
+from latticework.llm.runtime import Store, map_frames, prepare, release
 
 WORDS, PERCENT = 5, 75
 COORDS, BANDS = 128, 32
@@ -54,7 +54,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 2**63, size=256, dtype=np.uint64)
-_PLACE = _rng.integers(0, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
 _STEP = _rng.integers(0, 2**63, size=WORDS, dtype=np.uint64) | np.uint64(1)
 _SALT = mix(np.arange(2 * WIDE, dtype=np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -72,13 +71,12 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(word)
     lens = ends - starts
     place = within(lens)
-    h = _BYTE[data[at]] * _PLACE[place % 4096] + (place >> 12).astype(np.uint64)
-    words = mix(np.add.reduceat(h, np.cumsum(lens) - lens) ^ (lens.astype(np.uint64) << np.uint64(40)))
+    words = mix(np.add.reduceat(_BYTE[data[at]] * places(place), np.cumsum(lens) - lens) ^ (lens.astype(np.uint64) << np.uint64(40)))
     per_doc = np.diff(np.concatenate([[0], np.searchsorted(starts, doc_end)]))
     n = len(words)
     rolled = np.zeros(n, dtype=np.uint64)
     for j in range(WORDS):
-        rolled[: n - j] += words[j:] * _STEP[j]
+        rolled[: max(0, n - j)] += words[j:] * _STEP[j]
     first = np.cumsum(per_doc) - per_doc
     held = np.maximum(per_doc - WORDS + 1, 0)
     index = np.repeat(first, held) + within(held)
@@ -128,7 +126,6 @@ def _digest_sets(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (hash of the set), bands."""
-    prepare(docs.sparkSession, 2000)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,12 +144,11 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 })
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted shingle hashes as bytes."""
-    prepare(docs.sparkSession, 1000)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,12 +159,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 raw = values.tobytes()
                 yield pd.DataFrame({"node": pdf["doc_id"].iloc[lo:hi].array, "members": [raw[8 * a : 8 * b] for a, b in zip([0, *ends[:-1]], ends)]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "node bigint, members binary")
+    return map_frames(docs.select("doc_id", "text"), run, "node bigint, members binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    prepare(pairs.sparkSession, 256)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,7 +176,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     held = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     held = held.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return held.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    return map_frames(held.select("a", "b", "x", "y"), run, "a bigint, b bigint", 256)
 
 
 def _wide_sketches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,15 +268,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             store.drop(f"{name}{i}")
 
     rest = store.put("rest", split(STARS + 1))
-    wide = sets.join(rest.select("node").distinct(), "node").mapInPandas(_wide_sketches, "node bigint, wide binary")
+    wide = map_frames(sets.join(rest.select("node").distinct(), "node"), _wide_sketches, "node bigint, wide binary", 256)
     wide = store.put("wide", wide.join(classes.select("node", "bands"), "node"))
     crowded = rest.groupBy("bucket").count().where(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     dealt = rest.join(wide, "node").join(store.put("crowded", crowded), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")}).select("bucket", "ti", "tj", "tile", "node", "n", "component", "wide", "bands")
     keys = ["bucket", "ti", "tj"]
-    prepare(spark, 2000)
-    across = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).mapInPandas(_across, "a bigint, b bigint")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    across = map_frames(dealt, _across, "a bigint, b bigint")
     second = across.distinct().join(asked, ["a", "b"], "left_anti")
     second = store.put("second", second)
     more = store.put("more", _verified(second, sets))
