@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.plans.components import components, stars
-from latticework.llm.runtime import Store, prepare
+from latticework.llm.runtime import Store, map_frames, prepare
 
 BLOCK, TILE = 8, 4096
 #: Vectors of the sample that fits the cuts.
@@ -116,7 +116,7 @@ def _group(pdf: pd.DataFrame, kind: str, threshold: float, budget: float) -> pd.
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vec_id, embedding, label."""
-    spark = prepare(vectors.sparkSession, 2000)
+    spark = prepare(vectors.sparkSession)
     store = Store(spark)
     budget = 2 - 2 * threshold
     kind = "<f8" if "double" in vectors.schema["embedding"].dataType.simpleString() else "<f4"
@@ -148,10 +148,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     label_type = vectors.schema["label"].dataType.simpleString()
     key = f"label {label_type}, dim int, block int, cell int"
-    prepare(spark, 500)
-    crowded = classes.select("label", "node", "size", "embedding").mapInPandas(lambda it: place(it, False), key).groupBy("label", "dim", "block", "cell").count().where(F.col("count") > TILE)
+    crowded = map_frames(classes.select("label", "node", "size", "embedding"), lambda it: place(it, False), key, 500).groupBy("label", "dim", "block", "cell").count().where(F.col("count") > TILE)
     hot = store.put("hot", crowded.select("label", "dim", "block", "cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
-    placed = classes.select("label", "node", "size", "embedding").mapInPandas(lambda it: place(it, True), f"{key}, visits boolean, node bigint, size bigint, vec binary")
+    placed = map_frames(classes.select("label", "node", "size", "embedding"), lambda it: place(it, True), f"{key}, visits boolean, node bigint, size bigint, vec binary", 500)
     small = hot.count() <= MOST_HOT
     placed = placed.join(F.broadcast(hot) if small else hot, ["label", "dim", "block", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -183,8 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         if held:
             yield from flush(pd.concat(held, ignore_index=True))
 
-    prepare(spark, 5000)
-    found = store.put("found", dealt.mapInPandas(meet, "a bigint, b bigint, links bigint"))
+    found = store.put("found", map_frames(dealt, meet, "a bigint, b bigint, links bigint", 5000))
     linked = found.where("links >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     comp = components(found.where("links < 0").select("a", "b"), store)
     named = store.put("named", classes.select("label", "h1", "h2", "node", "size").join(linked, "node", "left").join(comp, "node", "left").select(
