@@ -3,10 +3,17 @@
 For a text of code points c, P[i] = sum of (c[j] + 1) * B^j for j < i, modulo
 two primes. Two prefix values give the hash of any span, so span equality is
 answered at once and the longest common extension of two places by binary
-search. A fingerprint holds the length, the hash of the whole text and the 64
-smallest mixed hashes of its 12-code-point spans; the likeness of two
-fingerprints is the estimated share of common spans (2J / (1 + J) of the
-estimated Jaccard similarity J).
+search. A fingerprint holds the length, the hash of the whole text, a sketch
+(the smallest mixed hashes of its 12-code-point spans: 64, or one for 128 code
+points of a longer text) and a ladder (hashes of its first and of its last g
+code points for the lengths g of `rungs`, five to a doubling).
+
+The likeness of two fingerprints is the larger of two estimates of the share
+of text that they have in common: 2J / (1 + J) of the Jaccard similarity J that
+the sketches estimate, and twice the common beginning and end over both
+lengths, where binary search over the rungs finds the longest that agree. The
+second cannot exceed the true share, and a common beginning is found however
+long the texts are.
 
 Equal texts have equal fingerprints, and different texts differ in the whole
 hash (62 bits). The fingerprint of an edited text is put together from the
@@ -29,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.flat import mix
-from latticework.llm.runtime import prepare
+from latticework.llm.runtime import map_frames, prepare
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1299721, 15485867)
-SPAN, KEPT = 12, 64
+#: Code points of a span, least hashes of a sketch, and code points of a text for one more hash.
+SPAN, KEPT, SHARE = 12, 64, 128
 
 
 class _Powers:
@@ -85,7 +93,7 @@ class PrefixHashes:
         for k, p in enumerate(PRIMES):
             d = self.prefix[k][width:] + np.uint64(p) - self.prefix[k][:m]
             out.append(d % np.uint64(p) * self.down[k][:m] % np.uint64(p))
-        return mix(out[0] << np.uint64(31) ^ out[1])
+        return _mixed(out)
 
     def same(self, a: int, b: int, length: int) -> bool:
         x = self.spans(np.array([a, b]), np.array([a + length, b + length]))
@@ -100,95 +108,152 @@ class PrefixHashes:
         return lo
 
 
-def _sketch(h: np.ndarray) -> np.ndarray:
+def rungs(n: int) -> np.ndarray:
+    """Lengths of beginnings and ends that a text of n code points is known by."""
+    out, g = [], 16
+    while g <= n:
+        out.append(g)
+        g = g * 8 // 7 + 1
+    return np.array(out, dtype=np.int64)
+
+
+def kept(n: int) -> int:
+    """Hashes of the sketch of a text of n code points."""
+    return max(KEPT, n // SHARE)
+
+
+def _sketch(h: np.ndarray, n: int) -> np.ndarray:
     """The smallest distinct values, as their upper 32 bits."""
-    take = 4 * KEPT
+    most = kept(n)
+    take = 4 * most
     while True:
         small = np.partition(h, take)[:take] if len(h) > take else h
         u = np.unique(small >> np.uint64(32))
-        if len(u) >= KEPT or len(h) <= take:
-            return u[:KEPT]
+        if len(u) >= most or len(h) <= take:
+            return u[:most]
         take *= 8
 
 
-def _join(n: int, whole: list[int], sketch: np.ndarray) -> str:
-    return f"{n:x}.{whole[0]:08x}{whole[1]:08x}." + sketch.astype(">u4").tobytes().hex()
+def _mixed(x: list[np.ndarray]) -> np.ndarray:
+    return mix(x[0] << np.uint64(31) ^ x[1])
+
+
+class Print:
+    """A fingerprint: length, whole hash, sketch, ladder of beginnings and ladder of ends (upper 32 bits each)."""
+
+    def __init__(self, n: int, whole: list[int], sketch: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.n, self.whole, self.sketch, self.first, self.last = n, whole, sketch, first, last
+
+    def __str__(self) -> str:
+        return f"{self.n:x}.{self.whole[0]:08x}{self.whole[1]:08x}." + ".".join(x.astype(">u4").tobytes().hex() for x in (self.sketch, self.first, self.last))
+
+    @classmethod
+    def read(cls, text: str) -> Print:
+        n, whole, *rest = text.split(".")
+        return cls(int(n, 16), [int(whole[:8], 16), int(whole[8:], 16)], *(np.frombuffer(bytes.fromhex(x), dtype=">u4").astype(np.uint64) for x in rest))
+
+    def likeness(self, other: Print) -> float:
+        if self.n == other.n and self.whole == other.whole:
+            return 1.0
+        return max(_alike(self, other), _ends_alike(self, other))
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated share of common spans of two fingerprints, 0 to 1."""
-    if a == b:
-        return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rsplit(".", 1)[1]), dtype=">u4") for f in (a, b))
-    return _alike(x, y)
+    """Estimated share of common text of two fingerprints, 0 to 1."""
+    return Print.read(a).likeness(Print.read(b))
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> float:
+def _alike(a: Print, b: Print) -> float:
+    x, y = a.sketch, b.sketch
     if not len(x) or not len(y):
         return 0.0
-    union = np.union1d(x, y)[:KEPT]
+    union = np.union1d(x, y)[: min(kept(a.n), kept(b.n))]
     both = np.intersect1d(np.intersect1d(union, x, assume_unique=True), y, assume_unique=True)
     j = len(both) / len(union)
     return 2 * j / (1 + j)
 
 
+def _climb(x: np.ndarray, y: np.ndarray) -> int:
+    """How many rungs agree: if one does, so do all below it."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[mid - 1] == y[mid - 1] else (lo, mid - 1)
+    return lo
+
+
+def _ends_alike(a: Print, b: Print) -> float:
+    g = np.concatenate([[0], rungs(min(a.n, b.n))])
+    held = min(int(g[_climb(a.first, b.first)] + g[_climb(a.last, b.last)]), a.n, b.n)
+    return 2 * held / (a.n + b.n) if a.n + b.n else 1.0
+
+
 def _code(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
 
 
+def _lone(whole: list[int]) -> np.ndarray:
+    """The only span of a text that is shorter than one."""
+    return mix(np.array([(whole[0] << 31) ^ whole[1]], dtype=np.uint64))
+
+
+def _upper(x: list[np.ndarray]) -> np.ndarray:
+    return _mixed(x) >> np.uint64(32)
+
+
+def _print(h: PrefixHashes, spans: np.ndarray, a: int, b: int) -> Print:
+    """The fingerprint of the text that stands from a to b."""
+    n = b - a
+    whole = [int(v[0]) for v in h.spans(np.array([a]), np.array([b]))]
+    held = spans[a : b - SPAN + 1] if n >= SPAN else _lone(whole) if n else spans[:0]
+    g = rungs(n)
+    return Print(n, whole, _sketch(held, n), _upper(h.spans(np.full(len(g), a), a + g)), _upper(h.spans(b - g, np.full(len(g), b))))
+
+
+def _joined(h: PrefixHashes, spans: np.ndarray, flat: np.ndarray, a: int, cut: int, c: int, d: int) -> Print:
+    """The fingerprint of the text a..cut followed by c..d, from the same prefix arrays: only spans over the joint are hashed anew."""
+    head, tail = cut - a, d - c
+    n = head + tail
+
+    def glued(a0, cut0, c0, d0):
+        """Hashes of the strings a0..cut0 + c0..d0."""
+        left, right = h.spans(a0, cut0), h.spans(c0, d0)
+        return [(x + h.up[k][cut0 - a0] * y) % np.uint64(PRIMES[k]) for k, (x, y) in enumerate(zip(left, right))]
+
+    whole = [int(v[0]) for v in glued(*(np.array([x]) for x in (a, cut, c, d)))]
+    if n < SPAN:
+        held = _lone(whole) if n else spans[:0]
+    else:
+        around = np.concatenate([flat[max(a, cut - SPAN + 1) : cut], flat[c : c + min(tail, SPAN - 1)]])
+        held = np.concatenate([spans[a : max(a, cut - SPAN + 1)], PrefixHashes(around).all_spans(SPAN), spans[c : max(c, d - SPAN + 1)]])
+    g = rungs(n)
+    first = glued(np.full(len(g), a), a + np.minimum(g, head), np.full(len(g), c), c + np.maximum(g - head, 0))
+    last = glued(cut - np.maximum(g - tail, 0), np.full(len(g), cut), d - np.minimum(g, tail), np.full(len(g), d))
+    return Print(n, whole, _sketch(held, n), _upper(first), _upper(last))
+
+
 def fingerprint(text: str | None) -> str:
-    code = _code(text or "")
-    h = PrefixHashes(code)
-    spans = h.all_spans(SPAN)
-    whole = [int(v[0]) for v in h.spans(np.array([0]), np.array([len(code)]))]
-    if not len(spans) and len(code):
-        spans = mix(np.array([(whole[0] << 31) ^ whole[1]], dtype=np.uint64))
-    return _join(len(code), whole, _sketch(spans))
+    h = PrefixHashes(code := _code(text or ""))
+    return str(_print(h, h.all_spans(SPAN), 0, len(code)))
 
 
 def edited_rows(texts: list[str]) -> list[tuple]:
     """For each text but the last: n_chars, sha of the edited text, both fingerprints, likeness to the edited and to the next text."""
     codes = [_code(t) for t in texts]
-    ends = np.cumsum([len(c) for c in codes])
-    begins = ends - [len(c) for c in codes]
+    ends = np.cumsum([len(c) for c in codes]).tolist()
+    begins = [e - len(c) for e, c in zip(ends, codes)]
     flat = np.concatenate(codes)
     h = PrefixHashes(flat)
     spans = h.all_spans(SPAN)
-    whole = h.spans(begins, ends)
-
-    def held(a: int, b: int) -> np.ndarray:
-        """Spans that lie between two places."""
-        return spans[a : max(a, b - SPAN + 1)]
-
-    def lone(w: list[int]) -> np.ndarray:
-        return mix(np.array([(w[0] << 31) ^ w[1]], dtype=np.uint64))
-
-    wholes = list(zip(whole[0].tolist(), whole[1].tolist()))
-    sketches, prints = [], []
-    for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
-        s = held(a, b) if b - a >= SPAN else lone(wholes[i]) if b > a else spans[:0]
-        sketches.append(_sketch(s))
-        prints.append(_join(b - a, wholes[i], sketches[-1]))
+    prints = [_print(h, spans, a, b) for a, b in zip(begins, ends)]
     out = []
     for i in range(len(texts) - 1):
-        a, b, c, d = int(begins[i]), int(ends[i]), int(begins[i + 1]), int(ends[i + 1])
+        a, b, c, d = begins[i], ends[i], begins[i + 1], ends[i + 1]
         q = (b - a) // 4
-        cut = b - q
-        q = min(q, d - c)
+        cut, q = b - q, min(q, d - c)
         text = texts[i][: cut - a] + texts[i + 1][:q]
-        head, tail = h.spans(np.array([a, c]), np.array([cut, c + q])), cut - a
-        joined = [int((int(v[0]) + int(h.up[k][tail]) * int(v[1])) % PRIMES[k]) for k, v in enumerate(head)]
-        m = tail + q
-        if m < SPAN:
-            s = lone(joined) if m else spans[:0]
-        else:
-            around = np.concatenate([flat[max(a, cut - SPAN + 1) : cut], flat[c : c + min(q, SPAN - 1)]])
-            s = np.concatenate([held(a, cut), PrefixHashes(around).all_spans(SPAN), held(c, c + q)])
-        sketch = _sketch(s)
-        edited = _join(m, joined, sketch)
-        near = 1.0 if edited == prints[i] else _alike(sketches[i], sketch)
-        nxt = 1.0 if prints[i] == prints[i + 1] else _alike(sketches[i], sketches[i + 1])
-        out.append((b - a, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), prints[i], edited, near, nxt))
+        edited = _joined(h, spans, flat, a, cut, c, c + q)
+        out.append((b - a, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), str(prints[i]), str(edited), prints[i].likeness(edited), prints[i].likeness(prints[i + 1])))
     return out
 
 
@@ -197,13 +262,12 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every text."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": [fingerprint(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, fingerprint string")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id bigint, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -212,7 +276,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt over ranges of doc_id, a few to a task; the first row of each range is also sent to the range
     before it. Only the ranges' bounds and first ids, one number each, come to the driver.
     """
-    spark = prepare(docs.sparkSession, 500)
+    spark = prepare(docs.sparkSession)
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select("doc_id", "text", key.alias("k"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -259,4 +323,4 @@ def with_next(docs: DataFrame) -> DataFrame:
                 if closed or size > 1_000_000:
                     yield from flush(closed)
 
-    return dealt.select("doc_id", "text", "guest", "r").mapInPandas(run, SCHEMA)
+    return map_frames(dealt.select("doc_id", "text", "guest", "r"), run, SCHEMA, 500)
