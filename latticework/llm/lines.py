@@ -19,8 +19,9 @@ joined with the host's pages dealt over salts.
 
 Defined cases: rows with a null host or text are left as they are; an empty
 text stays empty; a page whose lines are all dropped keeps an empty text;
-repeated rows are treated alike; other columns are carried along; an empty
-table gives no rows.
+repeated rows are treated alike; other columns are carried along, whatever
+their names, and the counts take the place of columns named like them; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.runtime import Store
+from latticework.llm.runtime import Store, packed, quoted, unpacked
 
 #: Boilerplate lines that may be broadcast, 8 bytes each.
 BROADCAST_LINES, SALTS = 200_000, 64
@@ -41,7 +42,7 @@ def _lines(text: Column) -> Column:
 
 
 def _pages(docs: DataFrame, host: str, text: str) -> DataFrame:
-    return docs.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(host).alias("__host"), F.xxhash64(F.col(text)).alias("__page"), F.col(text).alias("__text"))
+    return docs.select(quoted(host).alias("__host"), F.xxhash64(quoted(text)).alias("__page"), quoted(text).alias("__text")).where("__host is not null and __text is not null")
 
 
 def boilerplate(page: DataFrame, ratio: float, min_pages: int) -> DataFrame:
@@ -88,15 +89,15 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
         copies = copied_pages(page, drop, store).withColumn("__copy", F.lit(True))
         counted = page.join(copies, ["__host", "__page"], "left").withColumn("__page", F.when(F.col("__copy"), F.lit(0).cast("bigint")).otherwise(F.col("__page")))
         drop = store.put("boilerplate_near", boilerplate(counted, ratio, min_pages))
-    held = _with_drop(docs, drop, host, text)
-    every = _lines(F.col(text))
+    whole = packed(docs, __host=quoted(host), __text=quoted(text))
+    held = _with_drop(whole, drop, "__host", "__text")
+    every = _lines(F.col("__text"))
     kept = F.filter(every, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("__drop"), F.xxhash64(F.trim(x)))))
-    out = held.withColumn("__kept", F.when(_hit(text), kept))
-    names = docs.columns
-    n = F.coalesce(F.size(every), F.lit(0)).cast("bigint")
-    return out.withColumns({lines: F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(n), removed: F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("__kept")).cast("bigint")}).withColumn(
-        text, F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    ).select(*names, lines, removed)
+    out = held.withColumn("__kept", F.when(_hit("__text"), kept))
+    n = F.coalesce(F.when(F.col("__text").isNotNull(), F.size(every)), F.lit(0)).cast("bigint")
+    gone = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size(every) - F.size("__kept")).cast("bigint")
+    new = F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n"))
+    return unpacked(out, docs.columns, **{text: new, lines: n, removed: gone})
 
 
 SQL = r"""
