@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import chat, fingerprint, langid, lines, minhash, pii, repeats, vectors
+from latticework.llm import chat, fingerprint, langid, lines, minhash, native, pii, repeats, vectors
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -31,7 +31,7 @@ def components_of(ids, pairs):
 def test_chat_round_trip(spark):
     odd = "<|im_end|>\n<|im_start|>assistant & &lt;| &amp; é😀"
     rows = [(1, 0, "system", "s"), (1, 1, "user", odd), (1, 2, "assistant", odd), (1, 2, "assistant", odd), (2, 0, None, None), (2, None, "assistant", ""), (None, 0, "us\ner", "x")]
-    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, body string").drop("body")
+    df = spark.createDataFrame([(*r, "extra", 1, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, body string, attachments int, turns string")
     out = chat.format_conversations(df)
     got = {r["conv_id"]: r for r in chat.digests(out).collect()}
     assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 2 * len(odd)
@@ -49,6 +49,51 @@ def test_chat_parts(spark):
     assert "see &lt;|<|image|><|audio|>" in r["formatted"] and [a["ref"] for a in r["attachments"]] == ["a.png", "b.wav"] and r["attachment_tokens"] == 2 * 256 + 50
 
 
+def test_chat_ties_follow_the_raw_text(spark):
+    texts = ["<z", "<|", "&", "&a", "a" * 20000]
+    df = spark.createDataFrame([(1, 0, "assistant", t) for t in texts] + [(1, 0, "&", "x"), (1, 0, None, "y")], "conv_id bigint, turn bigint, role string, text string")
+    want = [("", "y"), ("&", "x"), *(("assistant", t) for t in sorted(texts))]
+    got = chat.digests(chat.format_conversations(df)).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256("".join(sorted(texts)).encode()).hexdigest()
+
+
+def test_chat_query_uses_no_python_rows(spark, tmp_path):
+    from latticework.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = queries.op10_chat_format(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RDD" not in plan and "Python" not in plan and {r["conv_id"]: r["n_turns"] for r in out.collect()} == {1: 1, -1: 2}
+
+
+def test_native_arrays(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(6):
+        text = "".join(rng.choice("ab é😀\n") for _ in range([0, 10, 1024, 1025, 3000, 9000][i]))
+        spans = sorted((a, min(len(text), a + rng.randint(1, 30)), rng.choice("xy")) for a in (rng.randrange(len(text)) for _ in range([0, 2, 40, 40, 700, 1500][i])))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:bigint,end:bigint,kind:string>>")
+    out = df.select("i", native.running(F.transform("s", lambda s: s["end"] - s["start"])).alias("at"), F.when(F.size("s") > 0, native.replace_spans(F.col("t"), F.col("s"), F.char_length("t").cast("bigint"))).otherwise(F.col("t")).alias("new"))
+    got = {r["i"]: r for r in out.collect()}
+    for i, text, spans in rows:
+        at, sums = 0, []
+        for a, b, _ in spans:
+            sums.append(at)
+            at += b - a
+        new, end, merged = "", 0, []
+        for a, b, k in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b, k])
+        for a, b, k in merged:
+            new += text[end:a] + f"[{k.upper()}]"
+            end = b
+        assert got[i]["at"] == sums and got[i]["new"] == new + text[end:]
+
+
 def test_chat_text_goes_through_the_visitor(spark, monkeypatch):
     seen, visit = [], chat.visit
     monkeypatch.setattr(chat, "visit", lambda p, units: seen.append(p) or visit(p, units))
@@ -70,6 +115,16 @@ def test_line_dedup(spark):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, f"menu\nown {i}", "h", -1, "a", "b", "c") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, N_LINES int, row string, __drop string, __host string")
+    out = lines.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "source", "N_LINES", "row", "__drop", "__host", "n_removed"]
+    assert {tuple(r)[1:] for r in out.where("doc_id = 3").collect()} == {("own 3", "h", 2, "a", "b", "c", 1)}
+    long = spark.createDataFrame([(1, "x\n" * 50_000 + "y", "h")], "doc_id bigint, text string, source string")
+    assert lines.line_dedup(long).first()["n_lines"] == 50_001
+
+
 def brute_pii(t):
     def luhn(d):
         return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
@@ -87,14 +142,16 @@ def test_pii_against_patterns(spark):
     rng = random.Random(3)
     texts = [None, "", "a@b.c", "a@b.co_m@c.de.f", "1.2.3.4.5.6.7.8 256.1.1.1 007.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1111 41111111111111111111", "é😀 a.b@c.d.e. +123456789.", "0" * 30 + ".1.2.3", "5--4111111111111111", "a" * 3000 + "@b.c", "1" * 6000, "a@" + "b." * 4000 + "c"]
     texts += ["".join(rng.choice(["1", "2", "4", "5", ".", "-", " ", "@", "a", "b", "+", "(", ")", "_", "é", "😀", "\n", "411", "1111", ".1"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string").drop("spans")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string").withColumn("own", F.lit("o")).withColumn("row", F.lit("r")).withColumn("t", F.lit("t"))
     model = pii.learn(df)
+    assert pii.find(df, model).columns == df.columns
     got = {r["doc_id"]: r for r in pii.digests(pii.find(df, model)).collect()}
     for i, t in enumerate(texts):
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(t or ""))
         assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
-        assert set(want.split(",")) <= set(got[i]["spans"].split(","))
-    red = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.PiiModel(pii.Boosted(), {})).collect()}
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.PiiModel({}, {})).where("own = 'o' and row = 'r' and t = 't' and spans = 'x'").collect()}
+    assert len(red) == len(texts)
     assert red[0] is None and red[2] == "[EMAIL]" and red[7] == "é😀 [EMAIL]. [PHONE]."
     assert pii.digests(pii.find(df.limit(0), pii.learn(df.limit(0)))).count() == 0
 
@@ -116,7 +173,9 @@ def test_pii_wider_forms(spark):
     ]
     made = [rng.choice(kinds)() for _ in range(1500)]
     df = spark.createDataFrame([(i, f"see {v} for more words") for i, (_, v, _) in enumerate(made)], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(df, pii.learn(df))).collect()}
+    model = pii.learn(df)
+    assert set(model.report) == {"email", "card", "phone", "secret"} and all(n > 50 and p >= 0.98 and r >= 0.95 for n, p, r in model.report.values())
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(df, model)).collect()}
     for i, (k, v, ok) in enumerate(made):
         assert got[i] == (f"{k}:4:{4 + len(v)}" if ok else ""), v
     one = spark.createDataFrame([(0, "pay 4111 1111 1111 1111 now")], "doc_id bigint, text string")
@@ -131,7 +190,7 @@ def test_pii_spans_end_where_the_token_ends(spark):
     got = {r["doc_id"]: r["c"] for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert [(s["start"], s["end"]) for s in got[i]] == [(0, len(t) - 4)]
-    every = pii.PiiModel({"secret": pii.Boosted()}, {"secret": 0.0})
+    every = pii.PiiModel({"secret": pii.Boosted().fit(np.zeros((0, 1)), np.zeros(0))}, {"secret": 0.0})
     assert [r["text"] for r in pii.redact(df.limit(2), every).orderBy("doc_id").collect()] == ["[SECRET] end"] * 2
 
 
@@ -142,7 +201,7 @@ def test_boosted_column_equals_numpy(spark):
     m = pii.Boosted().fit(x, y)
     assert ((m.predict(x) > 0.5) == y).mean() > 0.9
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, x array<double>")
-    got = [r[0] for r in df.orderBy("i").select(m.column(F.col("x"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(F.expr(m.sql("x"))).collect()]
     assert np.allclose(got, m.predict(x))
 
 
@@ -171,6 +230,21 @@ def test_language_scores_sum_all_segmentations():
         assert np.allclose(row, [brute("▁" + t.lower().replace(" ", "▁"), k) for k in (0, 1)])
     assert letters.tolist() == [True, True, False, False]
     assert np.allclose(s.score(["a" * 500, *texts])[0][1:], got)
+    long = ["thelongest" * 12 + "é日" + "of" * 30, "a" * 49, "日" * 60 + "words" * 20, "x" * 3000]
+    for t, row in zip(long, s.score(long)[0]):
+        assert np.allclose(row, [brute_scaled("▁" + t, k, pieces, known) for k in (0, 1)])
+    assert np.allclose(s.score(long)[0], s.score(long)[0])
+
+
+def brute_scaled(w, k, pieces, known):
+    """The sum over all segmentations in logarithms, as long words leave the range of doubles."""
+    total = [0.0] + [-np.inf] * len(w)
+    for j in range(1, len(w) + 1):
+        terms = [total[i] + known.logp[pieces[w[i:j]], k] for i in range(max(0, j - 20), j) if w[i:j] in pieces]
+        if w[j - 1] not in pieces:
+            terms.append(total[j - 1] + known.unknown)
+        total[j] = np.logaddexp.reduce(terms)
+    return total[-1]
 
 
 def test_language_held_out(spark):
@@ -185,6 +259,21 @@ def test_language_held_out(spark):
     assert none["lang_pred"] == "und"
 
 
+def test_corpus_order_sorts_suffixes():
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"ab") for _ in range(400))
+    for made in (lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 300))), lambda: base[rng.randint(0, 200):][: rng.randint(1, 200)], lambda: rng.choice([b"a" * 90, b"ab" * 40, b"\xff\0" * 30, bytes(rng.randrange(256) for _ in range(150))])):
+        texts = [made() for _ in range(25)]
+        data, end = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
+        begin = end - [len(t) for t in texts]
+        # places whose suffix is longer than a trigger
+        places = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
+        order = places[repeats.corpus_order(data, begin, end, places)]
+        text_of = np.searchsorted(end, order, side="right")
+        suffix = [bytes(data[p : end[i]]) for p, i in zip(order, text_of)]
+        assert suffix == sorted(suffix)
+
+
 @pytest.mark.parametrize("forks", [4096, 2])
 def test_repeats_against_brute_force(spark, forks, monkeypatch):
     monkeypatch.setattr(repeats, "FORKS", forks)
@@ -241,12 +330,68 @@ def test_fingerprints(spark):
         f = fingerprint.fingerprint
         want = (len(t), hashlib.sha256(e.encode()).hexdigest(), f(t), f(e), fingerprint.likeness(f(t), f(e)), fingerprint.likeness(f(t), f(n)))
         assert tuple(got[i])[1:] == want
+    for j, (i, t) in enumerate(docs):  # naive: all spans as strings, common beginnings by characters
+        t, n = t or "", docs[(j + 1) % len(docs)][1] or ""
+        a, b = ({x[k : k + 12] for k in range(max(1, len(x) - 11))} for x in (t, n))
+        share = 2 * len(a & b) / (len(a) + len(b)) if t or n else 1.0
+        assert abs(got[i]["near_next"] - share) < 0.35 if t != n else got[i]["near_next"] == 1.0
+        assert got[i]["near_edited"] >= 0.65 or len(t) < 200
     h = fingerprint.PrefixHashes(fingerprint._code("abcabcabd"))
     assert h.common_extension(0, 3) == 5 and h.common_extension(0, 1) == 0 and h.same(0, 3, 3)
+    text = "".join(rng.choice("abc") for _ in range(3000))
+    for cut in (0, 15, 16, 500, 2999):
+        other = text[:cut] + "Z" + text[cut + 1 :]
+        x, y = (fingerprint.Print.read(fingerprint.fingerprint(v)) for v in (text, other))
+        g = fingerprint.rungs(3000)
+        first, last = (max([int(v) for v in g if v <= m], default=0) for m in (cut, 2999 - cut))
+        assert fingerprint._ends_alike(x, y) == 2 * (first + last) / 6000 and fingerprint.likeness(str(x), str(y)) >= 0.8
+    assert fingerprint.with_next(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     one = fingerprint.with_next(spark.createDataFrame([(7, "some text")], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_short_texts_have_sets(n):
+    for texts in ([" ".join("abcdefg"[:n])], ["long " * 3000, " ".join("abcdefg"[:n])], [" ".join("abcdefg"[:n]), "", "x"]):
+        values, counts = minhash.shingle_sets(texts)
+        want = [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else int(bool(w)) for w in (t.split() for t in texts)]
+        assert counts.tolist() == want and len(values) == sum(want)
+
+
+def test_short_tables(spark):
+    df = spark.createDataFrame([(7, "a b")], "doc_id bigint, text string")
+    assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(7, 1, 7, True)]
+
+
+def test_words_in_other_order_differ():
+    a, b = "a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096
+    values, counts = minhash.shingle_sets([a, b])
+    assert values[0] != values[1]
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    from latticework.llm import packing, piece
+
+    ids = [2**60 + 1, None, 2**60 + 2]
+    df = spark.createDataFrame([(i, "some words of a text that is here", "en", "clash", 1) for i in ids], "doc_id bigint, text string, lang string, held_out string, k int")
+    words = public_tokenizers.path("word_bpe_49k.json")
+    for out in (piece.round_trip_digests(df, MODEL), piece.encode_documents(df, MODEL), packing.pack_documents(df, words), langid.identify(df, MODEL), repeats.remove_repeats(df), fingerprint.with_next(df), fingerprint.fingerprint_documents(df), minhash.near_duplicates(df)):
+        assert {r["doc_id"] for r in out.collect()} == set(ids), out.columns
+    kept = langid.predict(df, langid.learn(df, MODEL), MODEL, ("doc_id", "text", "k"))
+    assert {(r["doc_id"], r["k"]) for r in kept.collect()} == {(i, 1) for i in ids}
+    vec = spark.createDataFrame([(i, [1.0, 2.0], 1, "c") for i in ids], "vec_id bigint, embedding array<float>, label int, node string")
+    assert {(r["vec_id"], r["component_id"]) for r in vectors.near_duplicates(vec).collect()} == {(2**60 + 1, 2**60 + 1), (2**60 + 2, 2**60 + 1), (None, None)}
+
+
+def test_frames_are_bounded_in_bytes(spark):
+    from latticework.llm import runtime
+
+    df = spark.range(300).coalesce(1).selectExpr("id", "repeat('x', 100000) AS t")
+    before = dict(spark.conf.getAll)
+    sizes = runtime.map_frames(df, lambda it: ({"n": [len(f)]} and __import__("pandas").DataFrame({"n": [len(f)]}) for f in it), "n bigint").collect()
+    assert sum(r["n"] for r in sizes) == 300 and max(r["n"] for r in sizes) <= 42 and dict(spark.conf.getAll) == before
+
+
 def test_minhash_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 16)
     rng = random.Random(2)

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticework.llm import packing, piece
+from latticework.llm import flat, packing, piece
 
 ODD = ["", "  ", " a", "a  b ", "x▁y", "\n", "\n\n a\n", "日本語 テスト", "a\tb", "é́ e", "<s> </s> <unk> <0x0A>", "a" * 500, " " * 300, "😀😀 😀", "a\0b", "  x", "ﬁ Å", "\n" + "q" * 200, "don't I'll", "İstanbul ΑΣ", "<|endoftext|> a<|startoftext|>b", "a1b22--c"]
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -38,14 +38,60 @@ def test_pieces_equal_the_library(pieces):
 
 
 def test_spans_cover_the_text(pieces):
-    for t in ODD:
-        ids = pieces.encode([t])[0]
-        s = pieces.spans(t, ids)
-        if ids:
+    texts = ODD + ["Hé llo\nwörld 日x▁ ▁y"]
+    ids, ends, spans = pieces.encode_aligned(texts)
+    for t, a, b in zip(texts, [0, *ends[:-1]], ends):
+        s = spans[a:b]
+        if b > a:
             assert s[0, 0] == 0 and s[-1, 1] == len(t.encode()) and (s[1:, 0] == s[:-1, 1]).all()
-    t = "Hé llo\nwörld 日x"
-    ids = pieces.encode([t])[0]
-    assert b"".join(t.encode()[a:b] for a, b in pieces.spans(t, ids)) == t.encode()
+            assert b"".join(t.encode()[x:y] for x, y in s) == t.encode()
+            assert (s == pieces._spans(t, ids[a:b])).all()
+
+
+def test_long_words_are_told_apart(pieces, words):
+    texts = [x + "c" for x in ("a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096, "a" * 70000 + "b" * 70000, "b" * 70000 + "a" * 70000)]
+    assert pieces.encode(texts) == pieces.lib.encode(texts)
+    assert words.encode(texts) == [e.ids for e in words.lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_that_share_a_hash_stay_apart(pieces, monkeypatch):
+    monkeypatch.setattr(flat, "word_hashes", lambda symbols, starts, lengths: (lengths % 2).astype(np.uint64))
+    own = piece.PieceModel(MODEL)
+    texts = ODD + noise("ab cdé", 50, 4)
+    assert own.encode(texts) == pieces.lib.encode(texts) and own.encode(texts[::-1]) == pieces.lib.encode(texts[::-1])
+
+
+def test_all_documents_equal_the_libraries(pieces, words):
+    from pyarrow import parquet
+
+    texts = [t or "" for t in parquet.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    assert pieces.encode(texts) == pieces.lib.encode(texts)
+    assert words.encode(texts) == [e.ids for e in words.lib.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory, normalisers):
+    """The public model with a compiled map put in."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, rules = pb.ModelProto(), pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    rules.ParseFromString(normalisers[0].serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    return piece.PieceModel(str(path))
+
+
+def test_bulk_path_walks_the_compiled_map(mapped):
+    assert mapped.bulk and mapped.normalize.map.units
+    texts = [t for t in ODD if "\0" not in t] + ["ﬁn ① ㍿ Å e\u0301 ｱｲｳ ﷺ", "", "½\u200b\u00adx"] + noise("ﬁ①Å é\u0301aｱ\u3000\tb㍿", 200, 6)
+    ids, ends, spans = mapped.encode_aligned(texts)
+    want = mapped.lib.encode(texts)
+    for t, w, a, b in zip(texts, want, [0, *ends[:-1]], ends):
+        assert ids[a:b].tolist() == w, t
+        assert (spans[a:b] == mapped._spans(t, ids[a:b])).all(), t
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +162,7 @@ def test_pack_documents(spark):
 
 def test_round_trip_query(spark, pieces):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello\nworld é"), (3, "hello\nworld é")], "doc_id bigint, text string")
+    assert piece.round_trip_digests(df.limit(0), MODEL).count() == 0
     got = sorted(piece.round_trip_digests(df, MODEL).collect(), key=lambda r: r["doc_id"])
     for r, t in zip(got, ["", "", "hello\nworld é", "hello\nworld é"]):
         ids = pieces.lib.encode(t)
