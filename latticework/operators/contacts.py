@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.plans import radius
+from latticework.plans.workers import prepare
 
 #: Widening of radii for overlaps, radius of water (Angstrom), points on a sphere.
 WIDEN, WATER, FIB_A, FIB_B = 1.24, 2.80, 233, 377
@@ -31,12 +31,10 @@ CLASSES = (
 
 
 def sphere(radius_: float = 1.0) -> np.ndarray:
-    """FIB_B points spread over a sphere by a Fibonacci lattice."""
-    k = np.arange(FIB_B)
-    turn = ((k + 1) * FIB_A) % FIB_B
-    turn[turn == 0] = FIB_B
-    tilt, phi = np.arccos(1 - 2 * k / FIB_B), 2 * math.pi * turn / FIB_B
-    return radius_ * np.stack([np.sin(tilt) * np.cos(phi), np.sin(tilt) * np.sin(phi), np.cos(tilt)], axis=1)
+    """FIB_B points of a Fibonacci lattice on a sphere: even steps down the axis, FIB_A / FIB_B of a turn at each."""
+    height = np.linspace(1, -1, FIB_B, endpoint=False)
+    ring = np.sqrt(1 - height**2) * np.exp(2j * np.pi * FIB_A / FIB_B * np.arange(1, FIB_B + 1))
+    return radius_ * np.column_stack([ring.real, ring.imag, height])
 
 
 def with_types(atoms: DataFrame, table: DataFrame) -> DataFrame:
@@ -78,6 +76,7 @@ def surface_owners(atoms: DataFrame, on: list[str], largest: float) -> DataFrame
                     out.append((*[getattr(row, x) for x in on], row.i, n["j"], row.residue, n["residue"], row.ctype, n["ctype"], int(count)))
             yield pd.DataFrame(out, columns=[*on, "i", "j", "ri", "rj", "ti", "tj", "points"])
 
+    prepare(atoms.sparkSession)
     schema = ", ".join(f"{k} {atoms.schema[k].dataType.simpleString()}" for k in on)
     return held.mapInPandas(run, f"{schema}, i bigint, j bigint, ri bigint, rj bigint, ti int, tj int, points int")
 

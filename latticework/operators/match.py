@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import predicates as pr
+from latticework.plans.workers import prepare
 
 
 class Pattern:
@@ -60,7 +60,9 @@ def find(pattern: Pattern, nodes: DataFrame, edges: DataFrame, keys: tuple[str,
             step = edges.select(*k, F.col("u").alias(linked[0]), F.col("v").alias(name))
             out = out.join(step, [*k, linked[0]]).join(candidates(name), [*k, name])
         else:
-            out = out.join(candidates(name), k) if k else out.crossJoin(candidates(name))
+            if not k:
+                raise ValueError("a pattern of several pieces needs keys to join them by")
+            out = out.join(candidates(name), k)
         for m in seen:
             out = out.where(F.col(m) != F.col(name))
         for a, b in pattern.ordered:
@@ -159,67 +161,6 @@ def delete_interactions(interactions: DataFrame, matches: DataFrame, itype: str,
 # --- searches in Python workers: each molecule is small ------------------------------------------------------------
 
 
-def isomorphisms(nodes: list, edges: set, k: int, pattern: list[tuple[int, int]], node_ok=lambda n, i: True) -> Iterator[tuple]:
-    """Induced matches of pattern nodes 0..k-1, lowest nodes first."""
-    want = {frozenset(e) for e in pattern}
-
-    def grow(found: tuple) -> Iterator[tuple]:
-        i = len(found)
-        if i == k:
-            yield found
-            return
-        for n in nodes:
-            if n not in found and node_ok(n, i) and all((frozenset((n, m)) in edges) == (frozenset((i, j)) in want) for j, m in enumerate(found)):
-                yield from grow((*found, n))
-
-    yield from grow(())
-
-
-def automorphisms(k: int, pattern: list[tuple[int, int]], colour=lambda i: 0) -> list[tuple[int, ...]]:
-    """Symmetries of a pattern that keep colours."""
-    edges = {frozenset(e) for e in pattern}
-    return list(isomorphisms(list(range(k)), edges, k, pattern, lambda n, i: colour(n) == colour(i)))
-
-
-def one_of_each(matches: Iterable[tuple], symmetries: list[tuple[int, ...]]) -> list[tuple]:
-    """The smallest match of each symmetry class."""
-    return sorted({min(tuple(m[i] for i in s) for s in symmetries) for m in matches})
-
-
-def maximum_cliques(adjacency: dict) -> list[tuple]:
-    """All largest cliques (Bron-Kerbosch with pivots)."""
-    best: list[tuple] = []
-
-    def grow(r: tuple, p: set, x: set) -> None:
-        nonlocal best
-        if not p and not x:
-            if not best or len(r) > len(best[0]):
-                best = [r]
-            elif len(r) == len(best[0]):
-                best.append(r)
-            return
-        if best and len(r) + len(p) < len(best[0]):
-            return
-        pivot = max(p | x, key=lambda v: len(adjacency[v] & p))
-        for v in sorted(p - adjacency[pivot]):
-            grow((*r, v), p & adjacency[v], x & adjacency[v])
-            p, x = p - {v}, x | {v}
-
-    grow((), set(adjacency), set())
-    return sorted(tuple(sorted(c)) for c in best)
-
-
-def common_subgraphs(nodes: dict, edges: set, template: dict, template_edges: set) -> list[tuple]:
-    """Largest common induced subgraphs, ties kept, as tuples of (node, template node)."""
-    pairs = [(a, b) for a, ka in nodes.items() for b, kb in template.items() if ka == kb]
-    adjacency = {p: set() for p in pairs}
-    for p, q in combinations(pairs, 2):
-        if p[0] != q[0] and p[1] != q[1] and (frozenset((p[0], q[0])) in edges) == (frozenset((p[1], q[1])) in template_edges):
-            adjacency[p].add(q)
-            adjacency[q].add(p)
-    return maximum_cliques(adjacency)
-
-
 def cover(items: set, options: list[list], start: int = 0) -> list[int] | None:
     """Indices of options that cover each item exactly once, lowest indices preferred; None if there are none."""
     if not items:
@@ -233,36 +174,6 @@ def cover(items: set, options: list[list], start: int = 0) -> list[int] | None:
     return None
 
 
-def _rings(nodes: pd.Series) -> tuple[list[int], set]:
-    """The nodes of a molecule in order, joined in a ring."""
-    order = sorted(int(n) for n in nodes)
-    return order, {frozenset((a, b)) for a, b in zip(order, [*order[1:], order[0]]) if a != b}
-
-
-def largest_common_subgraphs(molecules: DataFrame, template: dict, template_edges: list[tuple], edges: DataFrame | None = None) -> DataFrame:
-    """mol_id, rank, node, template_node of every largest common subgraph (without edges a molecule is a ring)."""
-    want = {frozenset(e) for e in template_edges}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, joined = _rings(pdf["node"])
-        found = common_subgraphs({n: "a" for n in order}, joined, template, want)
-        return pd.DataFrame([(pdf["mol_id"].iloc[0], i, a, b) for i, c in enumerate(found) for a, b in c], columns=["mol_id", "rank", "node", "template_node"])
-
-    return molecules.groupBy("mol_id").applyInPandas(run, "mol_id bigint, rank int, node bigint, template_node int")
-
-
-def symmetric_matches(molecules: DataFrame, k: int, pattern: list[tuple[int, int]]) -> DataFrame:
-    """mol_id, match (array): one match of the pattern for each symmetry class."""
-    symmetries = automorphisms(k, pattern)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, joined = _rings(pdf["node"])
-        found = one_of_each(isomorphisms(order, joined, k, pattern), symmetries)
-        return pd.DataFrame({"mol_id": pdf["mol_id"].iloc[0], "match": [list(m) for m in found]})
-
-    return molecules.groupBy("mol_id").applyInPandas(run, "mol_id bigint, match array<bigint>")
-
-
 def exact_covers(rows: DataFrame, options: list[list[int]]) -> DataFrame:
     """mol_id, options: the exact cover of each molecule's items, null if there is none."""
 
@@ -270,12 +181,6 @@ def exact_covers(rows: DataFrame, options: list[list[int]]) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"mol_id": pdf["mol_id"], "options": [cover(set(int(x) for x in i), options) for i in pdf["items"]]})
 
+    prepare(rows.sparkSession)
     held = rows.groupBy("mol_id").agg(F.collect_set("item").alias("items"))
     return held.mapInPandas(run, "mol_id bigint, options array<int>")
-
-
-def relabelled(nodes: list, prefer: dict) -> list:
-    """Nodes in an order that tries equal names first (prefer: node -> rank)."""
-    return sorted(nodes, key=lambda n: (prefer.get(n, len(nodes)), n))
-
-

@@ -71,6 +71,61 @@ def pairs_under_threshold(a: DataFrame, b: DataFrame, threshold: float, bonds: D
     return pairs
 
 
+#: Residues and atoms on either side of the hydrogen bonds between nucleic strands, their longest (nm), and the bonds that must lie between.
+DONORS = (("DA", ("C2", "N6")), ("DG", ("N1", "N2")), ("DC", ("N4",)), ("DT", ("N3",)))
+ACCEPTORS = (("DA", ("N1",)), ("DG", ("O6",)), ("DC", ("N3", "O2")), ("DT", ("O2", "O4")))
+STRAND_REACH, STRAND_BONDS = 0.30, 4
+#: The atom of a cysteine bridge, and its longest (nm).
+BRIDGE, BRIDGE_REACH = {"resname": "CYS", "atomname": "SG"}, 0.22
+
+
+def _ends_of_strands(sides) -> list[dict]:
+    """Templates of a side: a residue in the middle, or at either end, of a strand."""
+    return [{"resname": pr.Choice((r, f"{r}3", f"{r}5")), "atomname": pr.Choice(tuple(names))} for r, names in sides]
+
+
+def edges_at_distance(atoms: DataFrame, bonds: DataFrame, templates_a: list[dict], templates_b: list[dict], threshold: float, min_edges: int = 0) -> DataFrame:
+    """mol_a, u, mol_b, v, distance: new edges between two selections of atoms, each pair once.
+
+    Pairs of one molecule with fewer than min_edges bonds between them are left out. Molecules that the edges join are
+    merged by `molecules.merge_by_edges`.
+    """
+    cols = ["mol_id", "node", "x", "y", "z"]
+    a, b = (atoms.where(pr.any_matches(t)).select(*cols) for t in (templates_a, templates_b))
+    near = pairs_under_threshold(a, b, threshold, graph.both_ways(bonds, keys=("mol_id",)) if min_edges > 1 else None, min_edges)
+    ends = [F.struct(F.col(f"mol_id_{s}").alias("mol"), F.col(f"node_{s}").alias("node")) for s in "ab"]
+    one = near.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"), "distance").distinct()
+    return one.select(F.col("p.mol").alias("mol_a"), F.col("p.node").alias("u"), F.col("q.mol").alias("mol_b"), F.col("q.node").alias("v"), "distance")
+
+
+def nucleic_strands(atoms: DataFrame, bonds: DataFrame, threshold: float = STRAND_REACH) -> DataFrame:
+    """Edges in place of the hydrogen bonds between complementary strands."""
+    return edges_at_distance(atoms, bonds, _ends_of_strands(DONORS), _ends_of_strands(ACCEPTORS), threshold, STRAND_BONDS)
+
+
+def cysteine_bridges(atoms: DataFrame, bonds: DataFrame, threshold: float = BRIDGE_REACH, template: dict | None = None) -> DataFrame:
+    """Edges between sulphur atoms of cysteines that are near enough."""
+    return edges_at_distance(atoms, bonds, [template or BRIDGE], [template or BRIDGE], threshold)
+
+
+def without_bridges(edges: DataFrame, atoms: DataFrame, template: dict | None = None) -> DataFrame:
+    """Edges (mol_id, u, v) without those between two sulphur atoms of cysteines."""
+    hit = atoms.where(pr.matches(template or BRIDGE)).select("mol_id", "node")
+    there = edges.join(hit.withColumnRenamed("node", "u"), ["mol_id", "u"], "left_semi").join(hit.withColumnRenamed("node", "v"), ["mol_id", "v"], "left_semi")
+    return edges.join(there.select("mol_id", "u", "v"), ["mol_id", "u", "v"], "left_anti").select(*edges.columns)
+
+
+def bridge_option(value: str) -> str | float:
+    """What is asked of bridges: a distance in nm, `auto` (found at the usual distance) or `none`."""
+    word = value.strip().lower()
+    if word in ("auto", "none"):
+        return word
+    try:
+        return float(word)
+    except ValueError:
+        raise ValueError(f"bridges are auto, none or a distance in nanometres, not {value!r}") from None
+
+
 def elastic_network(beads: DataFrame, near: DataFrame, low: float, up: float, rate: float, power: float, base: float, minimum: float, bond_type: int = 6, on: list[str] | None = None, domain=None) -> DataFrame:
     """Bonds u, v, bond_type, length, force of beads (node, residue, x, y, z) within the upper bound.
 

@@ -50,11 +50,16 @@ def _order_conditions(nodes: dict[str, dict]) -> list:
     return out
 
 
+def _names(want) -> list[str] | None:
+    return None if want is None else [want] if isinstance(want, str) else [str(x) for x in want]
+
+
 def match_link(link, atoms: DataFrame, edges: DataFrame, molecules: DataFrame | None = None) -> DataFrame:
     """mol_id and a column for each atom of a link (a rules.Template), one row for each match.
 
     atoms: mol_id, node, resid and the attributes that the link names; edges: mol_id, u, v both ways. In order:
-    molecule attributes, the induced pattern, residue orders, pairs that must not be joined, any of its patterns.
+    molecule attributes, the induced pattern, residue orders, modifications (if atoms tell theirs), pairs that must
+    not be joined, any of its patterns.
     """
     safe = {n: f"n{i}" for i, n in enumerate(link.nodes)}
     nodes = {safe[n]: {k: v for k, v in a.items() if k not in ("order", "replace", "modifications")} for n, a in link.nodes.items()}
@@ -63,7 +68,10 @@ def match_link(link, atoms: DataFrame, edges: DataFrame, molecules: DataFrame |
         fits = pr.matches(link.molmeta, lambda k: F.try_element_at("meta", F.lit(k)))
         atoms = atoms.join(molecules.where(fits).select("mol_id"), "mol_id", "left_semi")
     pattern = match.Pattern(nodes, [(safe[a], safe[b]) for a, b in link.edges if a in safe and b in safe])
-    found = match.find(pattern, atoms, edges, ("mol_id",), _order_conditions(orders))
+    conditions = _order_conditions(orders)
+    if "modifications" in atoms.columns:  # names of an atom's modifications; a link without any is for plain atoms
+        conditions += [lambda g, n=safe[n], want=a.get("modifications"): pr.modifications_match(g(n, "modifications"), _names(want)) for n, a in link.nodes.items()]
+    found = match.find(pattern, atoms, edges, ("mol_id",), conditions)
     for name, template in link.non_edges:
         own = safe[name]
         shift = template.get("order", 0)
@@ -169,33 +177,6 @@ def repair(atoms: DataFrame, template: DataFrame, mutated: DataFrame | None = No
     return flagged.unionByName(new, allowMissingColumns=True), gone
 
 
-def identify_modifications(atoms: DataFrame, edges: DataFrame, known: dict[str, dict[str, list[str]]], store: Store) -> DataFrame:
-    """mol_id, branch, resids, modifications: each branch of flagged atoms covered exactly by known modifications.
-
-    known: name -> {"atoms": its new atoms' names}. Branches are components of flagged atoms; the residues of their
-    anchors tell where they stand. A branch that nothing covers has null modifications.
-    """
-    flagged = atoms.where("ptm_atom")
-    inner = edges.join(flagged.select("mol_id", F.col("node").alias("u")), ["mol_id", "u"], "left_semi").join(flagged.select("mol_id", F.col("node").alias("v")), ["mol_id", "v"], "left_semi")
-    comp = components(inner.select(F.col("u").alias("a"), F.col("v").alias("b")), store)
-    branch = flagged.join(comp, "node", "left").withColumn("branch", F.coalesce("component", "node"))
-    both = graph.both_ways(edges, keys=("mol_id",))
-    anchor = both.join(branch.select("mol_id", F.col("node").alias("u"), "branch"), ["mol_id", "u"]).join(atoms.where("not ptm_atom").select("mol_id", F.col("node").alias("v"), "resid"), ["mol_id", "v"])
-    where = anchor.groupBy("mol_id", "branch").agg(F.sort_array(F.collect_set("resid")).alias("resids"))
-    held = branch.groupBy("mol_id", "branch").agg(F.sort_array(F.collect_list("atomname")).alias("names")).join(where, ["mol_id", "branch"], "left")
-    order = sorted(known, key=lambda n: (-len(known[n]["atoms"]), n))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for names in pdf["names"]:
-                got = match.cover(set(names), [known[n]["atoms"] for n in order])
-                out.append(None if got is None else [order[i] for i in got])
-            yield pdf.assign(modifications=out)[["mol_id", "branch", "resids", "modifications"]]
-
-    return held.mapInPandas(run, "mol_id bigint, branch bigint, resids array<int>, modifications array<string>")
-
-
 def charge_dummies(atoms: DataFrame, edges: DataFrame, dummies: DataFrame) -> DataFrame:
     """mol_id, node, x, y, z of charge dummies (mol_id, node, distance) spread around their one other neighbour."""
     from latticework.functions.geometry import fibonacci_sphere

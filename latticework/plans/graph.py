@@ -63,10 +63,14 @@ def quotient(nodes: DataFrame, edges: DataFrame, part: list[str], attributes: tu
     """
     from pyspark.sql import Window as W
 
+    from latticework.plans.ordered import dense_id
+
     k = list(keys)
     grouped = nodes.groupBy(*k, *part).agg(F.min("node").alias("__first"), F.count(F.lit(1)).alias("nnodes"), *[consensus(a).alias(a) for a in attributes if a not in part])
-    order = W.partitionBy(*k).orderBy("__first") if k else W.orderBy("__first")
-    parts = grouped.withColumn("part_id", (F.row_number().over(order) - 1).cast("bigint"))
+    if k:
+        parts = grouped.withColumn("part_id", (F.row_number().over(W.partitionBy(*k).orderBy("__first")) - 1).cast("bigint"))
+    else:  # no key to deal by: ranked range by range, each part is the only one with its first node
+        parts = dense_id(grouped.withColumn("__shape", F.col("__first")), "__shape", "__first", "part_id").drop("__shape")
     same = reduce(lambda x, y: x & y, [F.col(f"n.{p}").eqNullSafe(F.col(f"p.{p}")) for p in [*k, *part]])
     member = nodes.alias("n").join(parts.alias("p"), same).select(*[F.col(f"n.{x}") for x in k], F.col("n.node"), F.col("p.part_id"))
     ends = edges.join(member.withColumnsRenamed({"node": "u", "part_id": "pu"}), [*k, "u"]).join(member.withColumnsRenamed({"node": "v", "part_id": "pv"}), [*k, "v"])
@@ -96,12 +100,27 @@ def categorical_product(a: DataFrame, b: DataFrame, attributes: list[str], node:
     return a.alias("a").join(b.alias("b"), same).select(F.col(f"a.{node}").alias("ia"), F.col(f"b.{node}").alias("ib"))
 
 
-def modular_product(pairs: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """Edges of the modular product: product nodes that differ in both parts and are joined in both graphs or in neither."""
-    x = pairs.select(F.col("ia").alias("ua"), F.col("ib").alias("ub"))
-    y = pairs.select(F.col("ia").alias("va"), F.col("ib").alias("vb"))
-    both = x.join(y, (F.col("ua") < F.col("va")) & (F.col("ub") != F.col("vb")))
-    ea = edges_a.select(F.col("u").alias("ua"), F.col("v").alias("va"), F.lit(True).alias("in_a"))
-    eb = edges_b.select(F.col("u").alias("ub"), F.col("v").alias("vb"), F.lit(True).alias("in_b"))
-    marked = both.join(ea, ["ua", "va"], "left").join(eb, ["ub", "vb"], "left")
-    return marked.where(F.coalesce("in_a", F.lit(False)) == F.coalesce("in_b", F.lit(False))).select("ua", "ub", "va", "vb")
+def modular_product(pairs: DataFrame, edges_a: DataFrame, edges_b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of the modular product: product nodes that differ in both parts and are joined in both graphs or in neither.
+
+    pairs: keys, ia, ib; with keys (a molecule, say) products are formed inside each key alone, by an equi-join. Pairs
+    and edges without keys are one small graph each.
+    """
+    k = list(keys)
+    x = pairs.select(*k, F.col("ia").alias("ua"), F.col("ib").alias("ub"))
+    y = pairs.select(*k, F.col("ia").alias("va"), F.col("ib").alias("vb"))
+    both = (x.join(y, k) if k else x.join(y, (F.col("ua") < F.col("va")))).where((F.col("ua") < F.col("va")) & (F.col("ub") != F.col("vb")))
+    ea = edges_a.select(*k, F.col("u").alias("ua"), F.col("v").alias("va"), F.lit(True).alias("in_a"))
+    eb = edges_b.select(*[c for c in k if c in edges_b.columns], F.col("u").alias("ub"), F.col("v").alias("vb"), F.lit(True).alias("in_b"))
+    marked = both.join(ea, [*k, "ua", "va"], "left").join(eb, [*[c for c in k if c in edges_b.columns], "ub", "vb"], "left")
+    return marked.where(F.coalesce("in_a", F.lit(False)) == F.coalesce("in_b", F.lit(False))).select(*k, "ua", "ub", "va", "vb")
+
+
+def connected(nodes: DataFrame, edges: DataFrame, store: Store, keys: tuple[str, ...] = ("mol_id",)) -> DataFrame:
+    """keys, connected: whether all nodes of each key hang together (node numbers are unique over all keys)."""
+    from latticework.plans.components import components
+
+    k = list(keys)
+    comp = components(edges.select(F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b")), store)
+    held = nodes.select(*k, "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return held.groupBy(*k).agg((F.min("component") == F.max("component")).alias("connected"))

@@ -32,8 +32,8 @@ def dense_id(df: DataFrame, shape: str, order: str, target: str = "shape_id") ->
     Only the distinct shapes are ranked, over ranges of their first appearance: a shape's number is its place in
     its range plus the sizes of the ranges before, so no task ranks all of them.
     """
-    first = df.groupBy(shape).agg(F.min(order).alias("__first"))
-    ranged = first.repartitionByRange("__first").withColumn("__p", F.spark_partition_id())
+    first = df.groupBy(shape).agg(F.min(order).alias("__at"))
+    ranged = first.repartitionByRange("__at").withColumn("__p", F.spark_partition_id())
     from latticework.plans.store import Store
 
     held = Store(df.sparkSession).put("shapes", ranged)
@@ -43,7 +43,7 @@ def dense_id(df: DataFrame, shape: str, order: str, target: str = "shape_id") ->
         before += [F.lit(p), F.lit(total)]
         total += sizes[p]
     base = F.create_map(*before)[F.col("__p")] if before else F.lit(0)
-    ranked = held.withColumn(target, (base + F.row_number().over(W.partitionBy("__p").orderBy("__first")) - 1).cast("bigint"))
+    ranked = held.withColumn(target, (base + F.row_number().over(W.partitionBy("__p").orderBy("__at")) - 1).cast("bigint"))
     return df.join(ranked.select(shape, target), shape)
 
 

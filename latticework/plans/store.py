@@ -6,17 +6,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticework.plans.workers import prepare
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, else one set here (as in tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, else the one set on the context; only a local session gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             at = got.get()
-        else:
-            at = "/tmp/checkpoints"
+        elif spark.sparkContext.master.startswith("local"):  # tests: one machine, so its own folder is shared
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="checkpoints-")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return at
 
 
@@ -24,7 +30,7 @@ class Store:
     """Named intermediate tables, removed when they have served."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.base = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:

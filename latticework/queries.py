@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from latticework.functions import geometry as geo
 from latticework.functions import predicates as pr
 from latticework.functions import scalars as sc
-from latticework.operators import mapping, match, molecules, network
+from latticework.operators import mapping, match, molecules, network, subgraphs
 from latticework.plans import graph, ordered, radius
 from latticework.plans.components import components as connected
 from latticework.plans.store import Store
@@ -148,9 +148,9 @@ def not_defined_or_not(spark, sf_dir):
     return e.where(pr.NotDefinedOrNot("87").column(F.col("k"))).select("event_id")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_full_match(coalesce(p_type, '<ABSENT>'), '[A-Z]+ [A-Z].*')")
+@query("SELECT p_partkey FROM part WHERE regexp_full_match(coalesce(p_type, '<ABSENT>'), '[A-Z]+MY')")
 def regex_full(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(pr.matches({"p_type": pr.FullRegex("[A-Z]+ [A-Z].*")})).select("p_partkey")
+    return table(spark, sf_dir, "part").where(pr.matches({"p_type": pr.FullRegex("[A-Z]+MY")})).select("p_partkey")
 
 
 @query("SELECT p_partkey, p_size BETWEEN 1 AND 5 OR p_size BETWEEN 20 AND 30 AS idr FROM part")
@@ -277,14 +277,12 @@ def repair_outer(spark, sf_dir):
     return match.compare_with_template(have, want, ["orderkey", "line"])
 
 
-@query("""WITH p AS (SELECT DISTINCT o_custkey AS c, s_nationkey AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
-x AS (SELECT DISTINCT c_nationkey AS a, n AS b FROM p JOIN customer ON c_custkey = c WHERE c % 7 = 0)
+@query("""WITH x AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT a, b FROM x JOIN (SELECT a AS a2, b AS b2 FROM x) y ON a = b2 AND b = a2 WHERE a < b""")
 def symmetric_contacts(spark, sf_dir):
-    p = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
-    contact = p.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
-    return network.symmetric(contact)
+    """Who buys from whom, by number, that is listed both ways."""
+    p = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return network.symmetric(p.select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
 
 
 @query(f"""WITH {P}, q AS (SELECT a.label AS ra, b.label AS rb, a.vec_id AS u, b.vec_id AS v, {D} AS d FROM p a JOIN p b ON a.vec_id < b.vec_id AND abs(a.label - b.label) > 2 WHERE {D} <= 0.06),
@@ -307,10 +305,11 @@ def nearest_owner(spark, sf_dir):
     return out.withColumn("distance", geo.quantise(F.col("distance")))
 
 
-@query("""SELECT a.vec_id AS ia, b.vec_id AS ib FROM embeddings a JOIN embeddings b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id % 20 = b.vec_id % 20 WHERE a.vec_id <> b.vec_id""")
+@query("""SELECT a.p_partkey AS ia, b.p_partkey AS ib FROM part a JOIN part b ON a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type AND a.p_size IS NOT DISTINCT FROM b.p_size
+WHERE a.p_partkey <> b.p_partkey""")
 def categorical_product(spark, sf_dir):
-    n = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "label", (F.col("vec_id") % 20).alias("kind"))
-    return graph.categorical_product(n, n, ["label", "kind"]).where("ia <> ib")
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_brand", "p_type", "p_size")
+    return graph.categorical_product(n, n, ["p_brand", "p_type", "p_size"]).where("ia <> ib")
 
 
 @query("""WITH e AS (SELECT n_nationkey AS u, m AS v FROM nation, (SELECT unnest([1, 2, 5]) AS k), (SELECT n_nationkey AS m FROM nation) WHERE m = (n_nationkey + k) % 25 ),
@@ -334,16 +333,16 @@ def edges_between(spark, sf_dir):
 # --- graphs -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, -l_partkey - 1 AS v FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity <= 10),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, -l_partkey - 1 AS v FROM lineitem),
 s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 cc(id, comp) USING KEY (id) AS (
  SELECT u, min(least(u, v)) FROM s GROUP BY u
  UNION SELECT s.v, min(cc.comp) FROM cc JOIN s ON s.u = cc.id JOIN recurring.cc r ON r.id = s.v WHERE cc.comp < r.comp GROUP BY s.v)
 SELECT id AS node, comp AS component FROM cc""")
 def components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity <= 10")
-    e = li.select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")).distinct()
-    return connected(e, Store(spark))
+    """Components of the whole order-part graph."""
+    e = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+    return connected(e.select(F.col("l_orderkey").cast("bigint").alias("a"), (-F.col("l_partkey") - 1).cast("bigint").alias("b")).distinct(), Store(spark))
 
 
 @query(f"""WITH RECURSIVE e AS ({_LATTICE}), s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
@@ -354,13 +353,13 @@ def k_hop(spark, sf_dir):
     return graph.k_hop(graph.both_ways(_lattice(spark, sf_dir)), 3)
 
 
-@query(f"""WITH e AS ({_LATTICE}), s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), val AS (SELECT c_custkey AS node, c_name AS value FROM customer WHERE c_custkey % 9 = 0),
+@query(f"""WITH e AS ({_LATTICE}), s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), val AS (SELECT c_custkey AS node, c_name AS value FROM customer WHERE c_mktsegment = 'BUILDING'),
 d2 AS (SELECT DISTINCT a.u, b.v FROM s a JOIN s b ON a.v = b.u), d3 AS (SELECT DISTINCT a.u, b.v FROM d2 a JOIN s b ON a.v = b.u), n AS (SELECT DISTINCT u FROM s),
 al AS (SELECT u, u AS v, 0 AS d FROM n UNION ALL SELECT u, v, 1 FROM s UNION ALL SELECT u, v, 2 FROM d2 UNION ALL SELECT u, v, 3 FROM d3),
 r AS (SELECT al.u AS node, value, d, row_number() OVER (PARTITION BY al.u ORDER BY d, v) AS k FROM al JOIN val ON val.node = al.v)
 SELECT node, value, CAST(d AS INT) AS depth FROM r WHERE k = 1""")
 def nearest_attr(spark, sf_dir):
-    values = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 9 == 0, F.col("c_name")).alias("value"))
+    values = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name")).alias("value"))
     return graph.nearest_attribute(graph.both_ways(_lattice(spark, sf_dir)), values, 3)
 
 
@@ -453,11 +452,11 @@ def stash_attributes(spark, sf_dir):
 # --- mapping ----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT p_partkey, p_brand AS bead, 1.0e0 AS weight FROM part UNION ALL SELECT p_partkey, p_type, 0.5e0 FROM part WHERE p_size % 2 = 0)
+@query("""WITH w AS (SELECT p_partkey, p_brand AS bead, 1.0e0 AS weight FROM part UNION ALL SELECT p_partkey, p_type, 0.5e0 FROM part WHERE p_size > 25)
 SELECT bead, count(*) AS members, sum(weight) AS weight, floor(CAST(sum(CAST(p_size AS DOUBLE) * weight) AS DOUBLE) / sum(weight) * 1e6 + 0.5) / 1e6 AS center FROM w JOIN part USING (p_partkey) GROUP BY bead""")
 def mapping_nm(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    table_ = part.select(F.col("p_partkey").alias("atom"), F.col("p_brand").alias("bead"), F.lit(1.0).alias("weight")).union(part.where("p_size % 2 = 0").select("p_partkey", "p_type", F.lit(0.5)))
+    table_ = part.select(F.col("p_partkey").alias("atom"), F.col("p_brand").alias("bead"), F.lit(1.0).alias("weight")).union(part.where("p_size > 25").select("p_partkey", "p_type", F.lit(0.5)))
     atoms = part.select(F.col("p_partkey").alias("atom"), F.col("p_size").cast("double").alias("x"))
     members = mapping.bead_members(atoms, table_)
     out = mapping.weighted_centroid(members, ["bead"], ["x"], "weight", keep_weight=True)
@@ -473,10 +472,11 @@ def bead_edges(spark, sf_dir):
     return mapping.induced_edges(edges, member)
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def uncovered_atoms(spark, sf_dir):
-    atoms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("atom"))
-    return mapping.uncovered(atoms, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("atom"))).select(F.col("atom").alias("p_partkey"))
+    atoms = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("atom"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return mapping.uncovered(atoms, urgent.select(F.col("o_custkey").alias("atom"))).select(F.col("atom").alias("c_custkey"))
 
 
 @query("SELECT l_partkey AS atom, count(DISTINCT l_suppkey) AS beads FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
@@ -489,18 +489,10 @@ def overlapping_atoms(spark, sf_dir):
 _LETTERS = "CASE event_type WHEN 'click' THEN 'H' WHEN 'view' THEN 'H' WHEN 'purchase' THEN 'E' WHEN 'signup' THEN 'T' ELSE 'S' END"
 
 
-def _rules(expr: str) -> str:
-    """Nested replacements over a text of runs flanked by dots."""
-    out = f"'.' || {expr} || '.'"
-    out = f"regexp_replace({out}, '\\.', '..', 'g')"
-    for a, b in ((".H.", ".3."), (".HH.", ".33."), (".HHH.", ".333."), (".HHHH.", ".3333."), (".HHHHH.", ".13332."), (".HHHHHH.", ".113322."), (".HHHHHHH.", ".1113222."), (".HHHH", ".1111"), ("HHHH.", "2222.")):
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"replace({out}, '..', '.')"
-
-
-@query(f"""WITH s AS (SELECT user_id, string_agg({_LETTERS}, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY 1),
-m AS (SELECT user_id, seq, {_rules("regexp_replace(seq, '[^H]', '.', 'g')")} AS mask FROM s)
-SELECT user_id, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN substr(mask, i + 1, 1) = '.' THEN substr(seq, i, 1) ELSE substr(mask, i + 1, 1) END), '') AS ss FROM m""")
+@query(f"""WITH c AS (SELECT user_id, {_LETTERS} AS ch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, ch = 'H' ORDER BY i) AS run FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ch = 'H', run ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY user_id, ch = 'H', run) AS n FROM g)
+SELECT user_id, string_agg(CASE WHEN ch <> 'H' THEN ch WHEN n <= 4 THEN '3' WHEN k < least(n - 4, 4) THEN '1' WHEN k >= n - least(n - 4, 4) THEN '2' WHEN n < 8 THEN '3' ELSE 'H' END, '' ORDER BY i) AS ss FROM r GROUP BY 1""")
 def ss_rewrite(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("click", "view"), "H").when(F.col("event_type") == "purchase", "E").when(F.col("event_type") == "signup", "T").otherwise("S")
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("c"))
@@ -581,45 +573,88 @@ def virtual_sites(spark, sf_dir):
     return molecules.virtual_sites(atoms, "mol", anchor="F")[1].select("mol_id", F.col("atoms")[0].alias("site"), F.col("atoms")[1].alias("anchor"))
 
 
-@query(f"""WITH {P} SELECT a.vec_id AS node_a, b.vec_id AS node_b, floor({D} / pow(2.0, 1.0/6) * 1e6 + 0.5) / 1e6 AS sigma FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 AND {D} > 0.05 AND {D} < 0.2""")
+@query(f"""WITH {P} SELECT a.vec_id AS node_a, b.vec_id AS node_b, floor({D} / pow(2.0, 1.0/6) * 1e6 + 0.5) / 1e6 AS sigma FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE {D} > 0.05 AND {D} < 0.2""")
 def go_pairs(spark, sf_dir):
     p = points(spark, sf_dir)
     residues = p.select(F.col("vec_id").alias("resid"), F.col("label").cast("string").alias("chain"), F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("atype"), F.col("vec_id").alias("node"), *"xyz")
     who = p.select(F.col("vec_id").alias("r"), F.col("label").cast("string").alias("c"))
     nxt = p.select((F.col("vec_id") - 1).alias("r"), F.col("vec_id").alias("r2"), F.col("label").cast("string").alias("c2"))
     there = who.join(nxt, "r").select(F.col("r").alias("resid_a"), F.col("c").alias("chain_a"), F.col("r2").alias("resid_b"), F.col("c2").alias("chain_b"))
-    back = there.where("resid_a % 2 = 0").select(F.col("resid_b").alias("resid_a"), F.col("chain_b").alias("chain_a"), F.col("resid_a").alias("resid_b"), F.col("chain_a").alias("chain_b"))
+    back = there.select(F.col("resid_b").alias("resid_a"), F.col("chain_b").alias("chain_a"), F.col("resid_a").alias("resid_b"), F.col("chain_a").alias("chain_b"))
     none = residues.select(F.col("node").alias("u"), F.col("node").alias("v"))
     out = network.go_pairs(there.union(back), residues, none, low=0.05, up=0.2)
     return out.select("node_a", "node_b", geo.quantise(F.col("sigma")).alias("sigma"))
 
 
-# --- searches without SQL ---------------------------------------------------------------------------------------
+# --- searches in small graphs -----------------------------------------------------------------------------------
 
+#: An order as a molecule: its lines are nodes, joined where they follow each other, or share a flag and differ in status.
+_LINE_GRAPH = """e AS (SELECT DISTINCT a.l_orderkey AS m, a.l_linenumber AS u, b.l_linenumber AS v FROM lineitem a JOIN lineitem b
+ ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND (a.l_returnflag = b.l_returnflag AND a.l_linestatus <> b.l_linestatus OR abs(a.l_linenumber - b.l_linenumber) = 1)),
+n AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS x FROM lineitem)"""
 
-@query()
-def components_whole(spark, sf_dir):
-    """Components of the whole order-part graph; `components` takes the few lines that its SQL takes."""
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
-    return connected(e.select(F.col("l_orderkey").cast("bigint").alias("a"), (-F.col("l_partkey") - 1).cast("bigint").alias("b")).distinct(), Store(spark))
+
+def _line_graph(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    nodes = li.select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").cast("bigint").alias("node")).distinct()
+    a, b = li.alias("a"), li.alias("b")
+    alike = (F.col("a.l_returnflag") == F.col("b.l_returnflag")) & (F.col("a.l_linestatus") != F.col("b.l_linestatus"))
+    joined = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") != F.col("b.l_linenumber")) & (alike | (F.abs(F.col("a.l_linenumber") - F.col("b.l_linenumber")) == 1)))
+    return nodes, joined.select(F.col("a.l_orderkey").alias("mol_id"), F.col("a.l_linenumber").cast("bigint").alias("u"), F.col("b.l_linenumber").cast("bigint").alias("v")).distinct()
 
 
-@query()
-def common_subgraph(spark, sf_dir):
-    """The largest common subgraphs of each region's nation ring and a fixed template."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("mol_id"), F.col("n_nationkey").cast("bigint").alias("node"))
-    return match.largest_common_subgraphs(n, {0: "a", 1: "a", 2: "a"}, [(0, 1), (1, 2)])
+_PATH = subgraphs.Graph({0: "", 1: "", 2: ""}, [(0, 1), (1, 2)])
 
 
-@query()
-def isomorphisms(spark, sf_dir):
-    """Matches of a three-node path in the nations of each region, one for each symmetry class."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("mol_id"), F.col("n_nationkey").cast("bigint").alias("node"))
-    return match.symmetric_matches(n, 3, [(0, 1), (1, 2)])
+@query(f"""WITH {_LINE_GRAPH}, p AS (SELECT x.m, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.m = y.m AND x.v = y.u AND y.v <> x.u WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.m = x.m AND z.u = x.u AND z.v = y.v)),
+pc AS (SELECT m, count(*) AS k FROM p GROUP BY m), ec AS (SELECT m, count(*) AS k FROM e GROUP BY m), nc AS (SELECT m, count(*) AS k FROM n GROUP BY m)
+SELECT nc.m AS mol_id, CASE WHEN pc.k > 0 THEN 3 WHEN nc.k > 1 THEN 2 ELSE 1 END AS size,
+ CASE WHEN pc.k > 0 THEN pc.k WHEN nc.k > 1 THEN 2 * coalesce(ec.k, 0) + (nc.k * (nc.k - 1) - coalesce(ec.k, 0)) ELSE 3 END AS ties
+FROM nc LEFT JOIN pc ON pc.m = nc.m LEFT JOIN ec ON ec.m = nc.m""")
+def common_subgraph(spark, sf_dir):
+    """Size and number of the largest subgraphs that each order's lines have in common with a path of three."""
+    nodes, edges = _line_graph(spark, sf_dir)
+    found = subgraphs.common_subgraphs(nodes, edges, _PATH)
+    return found.groupBy("mol_id").agg((F.count(F.lit(1)) / F.count_distinct("rank")).cast("int").alias("size"), F.count_distinct("rank").alias("ties"))
 
 
-@query()
+@query(f"""WITH {_LINE_GRAPH} SELECT x.m AS mol_id, x.u AS n0, x.v AS n1, y.v AS n2 FROM e x JOIN e y ON x.m = y.m AND x.v = y.u WHERE x.u < y.v AND NOT EXISTS (SELECT 1 FROM e z WHERE z.m = x.m AND z.u = x.u AND z.v = y.v)""")
+def isomorphisms(spark, sf_dir):
+    """Matches of a path of three in the lines of each order, one for each symmetry class."""
+    nodes, edges = _line_graph(spark, sf_dir)
+    return subgraphs.pattern_matches(nodes, edges, _PATH).select("mol_id", *[F.col("match")[i].alias(f"n{i}") for i in range(3)])
+
+
+@query(f"""WITH {_LINE_GRAPH}, k AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS x, l_returnflag AS f FROM lineitem),
+c AS (SELECT e.m, e.u AS x, count(DISTINCT CASE WHEN k.f = 'A' THEN e.v END) AS a, count(DISTINCT CASE WHEN k.f = 'N' THEN e.v END) AS n FROM e JOIN k ON k.m = e.m AND k.x = e.v GROUP BY 1, 2)
+SELECT k.m AS mol_id, k.x AS node, p.q AS pattern_node FROM k LEFT JOIN c ON c.m = k.m AND c.x = k.x, (SELECT unnest(['0', '1', '2']) AS q) p
+WHERE (q = '0' AND f = 'A' AND n >= 1) OR (q = '1' AND f = 'N' AND a >= 2) OR (q = '2' AND f = 'A' AND n >= 1)""")
+def match_candidates(spark, sf_dir):
+    """Lines that could be an end (A) or the middle (N) of a path, by the kinds of their neighbours."""
+    nodes, edges = _line_graph(spark, sf_dir)
+    kinds = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").cast("bigint").alias("node"), "l_returnflag").distinct()
+    return subgraphs.candidates(kinds, edges, subgraphs.Graph({0: "A", 1: "N", 2: "A"}, [(0, 1), (1, 2)]), "l_returnflag")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS m, list(DISTINCT l_linenumber) AS x FROM lineitem GROUP BY 1),
+t AS (SELECT m, x, list_has_all(x, [1, 2]) AS a, list_has_all(x, [3, 4]) AS b, list_has_all(x, [5, 6]) AS c FROM o)
+SELECT m AS mol_id, concat_ws(',', CASE WHEN a THEN '0' END, CASE WHEN b THEN '1' END, CASE WHEN c THEN '2' END, CASE WHEN list_contains(x, 1) AND NOT a THEN '3' END, CASE WHEN list_contains(x, 2) AND NOT a THEN '4' END,
+ CASE WHEN list_contains(x, 3) AND NOT b THEN '5' END, CASE WHEN list_contains(x, 4) AND NOT b THEN '6' END, CASE WHEN list_contains(x, 5) AND NOT c THEN '7' END, CASE WHEN list_contains(x, 6) AND NOT c THEN '8' END, CASE WHEN list_contains(x, 7) THEN '9' END) AS options FROM t""")
 def exact_covers(spark, sf_dir):
     """The lines of each order covered exactly by pairs and single lines, larger options first."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("item"))
-    return match.exact_covers(li, [[1, 2], [3, 4], [5, 6], [1], [2], [3], [4], [5], [6], [7]])
+    covered = match.exact_covers(li, [[1, 2], [3, 4], [5, 6], [1], [2], [3], [4], [5], [6], [7]])
+    return covered.select("mol_id", F.array_join(F.transform("options", lambda x: x.cast("string")), ",").alias("options"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS x, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+e AS (SELECT a.m, a.x AS u, b.x AS v FROM n a JOIN n b ON a.m = b.m AND a.x <> b.x AND (a.f = b.f OR a.s = b.s AND abs(a.x - b.x) = 1)),
+r AS (SELECT m, min(x) AS x FROM n GROUP BY m UNION SELECT e.m, e.v FROM r JOIN e ON e.m = r.m AND e.u = r.x)
+SELECT m AS mol_id, count(*) = (SELECT count(DISTINCT x) FROM n WHERE n.m = r.m) AS connected FROM r GROUP BY m""")
+def connected_lines(spark, sf_dir):
+    """Whether the lines of each order hang together, joined by their flag or, next to each other, by their status."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("x"), "l_returnflag", "l_linestatus", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("node")).distinct()
+    a, b = li.alias("a"), li.alias("b")
+    near = (F.col("a.l_returnflag") == F.col("b.l_returnflag")) | ((F.col("a.l_linestatus") == F.col("b.l_linestatus")) & (F.abs(F.col("a.x") - F.col("b.x")) == 1))
+    edges = a.join(b, (F.col("a.mol_id") == F.col("b.mol_id")) & (F.col("a.x") < F.col("b.x")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    return graph.connected(li, edges, Store(spark))

@@ -1,13 +1,17 @@
 import math
 import random
+from itertools import combinations, permutations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from latticework.functions import geometry as geo
 from latticework.functions import predicates as pr
 from latticework.functions import scalars as sc
-from latticework.operators import mapping, match, molecules, network
+from latticework.operators import mapping, match, molecules, network, residues
+from latticework.operators import subgraphs as sg
 from latticework.plans import graph, ordered, radius
 from latticework.plans.components import components
 from latticework.plans.store import Store
@@ -52,7 +56,7 @@ def test_components_of_all_lines(spark, tmp_path, monkeypatch, one_task):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert len(set(want.values())) > 2
-    assert sorted(rows(queries.QUERIES["components_whole"](spark, str(tmp_path)))) == sorted(want.items())
+    assert sorted(rows(queries.QUERIES["components"](spark, str(tmp_path)))) == sorted(want.items())
 
 
 def test_hops_paths_quotient(spark):
@@ -148,16 +152,122 @@ def test_order_matrix(spark, o1, r1, o2, r2, want):
     assert spark.range(1).select(match.order_condition(o1, F.lit(r1), o2, F.lit(r2))).first()[0] is want
 
 
-def test_searches():
-    sym = match.automorphisms(3, [(0, 1), (1, 2)])
-    assert len(sym) == 2
-    ring = {frozenset((i, (i + 1) % 5)) for i in range(5)}
-    every = list(match.isomorphisms(list(range(5)), ring, 3, [(0, 1), (1, 2)]))
-    assert len(every) == 10 and len(match.one_of_each(every, sym)) == 5
-    common = match.common_subgraphs({i: "a" for i in range(5)}, ring, {0: "a", 1: "a", 2: "a"}, {frozenset((0, 1)), frozenset((1, 2))})
+def path(n):
+    return sg.Graph({i: "" for i in range(n)}, [(i, i + 1) for i in range(n - 1)])
+
+
+def test_symmetry():
+    assert sg.bounds(path(3)) == ([(0, 2)], 2)
+    ring = sg.Graph({i: "" for i in range(6)}, [(i, (i + 1) % 6) for i in range(6)])
+    assert sg.bounds(ring)[1] == 12 and len(set(sg.refine(ring).values())) == 1
+    propane = sg.Graph({0: "C", 1: "C", 2: "C"} | {i: "H" for i in range(3, 11)}, [(0, 1), (1, 2), (0, 3), (0, 4), (0, 5), (1, 6), (1, 7), (2, 8), (2, 9), (2, 10)])
+    ascending, size = sg.bounds(propane)
+    assert size == 144 and len(list(sg.matches(propane, propane, ascending))) == 1 and len(list(sg.matches(propane, propane))) == 144
+    assert sg.bounds(sg.Graph({0: "a", 1: "b"}, [(0, 1)]))[1] == 1 and sg.bounds(sg.Graph({}, []))[1] == 1
+    with pytest.raises(ValueError):
+        sg.symmetry_of(path(3), 0, 1)
+    assert path(4).connected() and not path(4).only({0, 1, 3}).connected() and sg.Graph({}, []).connected()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6))
+def test_one_match_for_each_symmetry_class(seed):
+    rng = random.Random(seed)
+
+    def graph(n):
+        return sg.Graph({i: rng.choice("ab") for i in range(n)}, [p for p in combinations(range(n), 2) if rng.random() < 0.5])
+
+    big, small = graph(rng.randint(1, 5)), graph(rng.randint(1, 4))
+    every = [m for m in permutations(big.near, len(small.near)) if all(big.kinds[m[p]] == k for p, k in small.kinds.items()) and all((m[b] in big.near[m[a]]) == (b in small.near[a]) for a, b in combinations(small.near, 2))]
+    own = [m for m in permutations(small.near) if all(small.kinds[m[p]] == k for p, k in small.kinds.items()) and all((m[b] in small.near[m[a]]) == (b in small.near[a]) for a, b in combinations(small.near, 2))]
+    ascending, size = sg.bounds(small)
+    assert size == len(own)
+    assert sorted(tuple(m[p] for p in sorted(m)) for m in sg.matches(big, small)) == sorted(every)
+    classes = {min(tuple(m[i] for i in s) for s in own) for m in every}
+    found = [tuple(m[p] for p in sorted(m)) for m in sg.matches(big, small, ascending)]
+    assert {min(tuple(m[i] for i in s) for s in own) for m in found} == classes and len(found) == len(classes)
+    most = max((len(k) for r in range(1, len(small.near) + 1) for k in combinations(small.near, r) if any(True for _ in sg.matches(big, small.only(k)))), default=0)
+    common = sg.largest_common(big, small)
+    assert max((len(m) for m in common), default=0) == most and all(len(m) == most for m in common)
+    cliques = sg.common_pairs(big, small)
+    assert max((len(c) for c in cliques), default=0) == most
+
+
+def test_searches(spark):
+    ring = sg.Graph({i: "a" for i in range(5)}, [(i, (i + 1) % 5) for i in range(5)])
+    assert len(list(sg.matches(ring, sg.Graph({i: "a" for i in range(3)}, [(0, 1), (1, 2)]), [(0, 2)]))) == 5
+    common = sg.common_pairs(ring, sg.Graph({i: "a" for i in range(3)}, [(0, 1), (1, 2)]))
     assert len(common) == 10 and all(len(c) == 3 for c in common)
     assert match.cover({1, 2, 3}, [[1, 2], [2, 3], [1], [3]]) == [0, 3]
     assert match.cover({1, 2}, [[1], [1, 2, 3]]) is None and match.cover(set(), [[1]]) == []
+    nodes = spark.createDataFrame([(0, 1, "C"), (0, 2, "N"), (0, 3, "C"), (1, 1, "C"), (1, 2, "C")], "mol_id bigint, node bigint, element string")
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "mol_id bigint, u bigint, v bigint")
+    p = sg.Graph({0: "C", 1: "N", 2: "C"}, [(0, 1), (1, 2)])
+    assert rows(sg.pattern_matches(nodes, edges, p, "element")) == [(0, [1, 2, 3])]
+    assert len(rows(sg.pattern_matches(nodes, edges, p, "element", symmetric=False))) == 2
+    assert rows(sg.common_subgraphs(nodes, edges, p, "element", connected_parts=True).where("mol_id = 1").select("node", "template_node")) == [(1, "0"), (2, "2")]
+    assert rows(sg.candidates(nodes, graph.both_ways(edges, keys=("mol_id",)), p, "element")) == [(0, 1, "0"), (0, 1, "2"), (0, 2, "1"), (0, 3, "0"), (0, 3, "2")]
+    with pytest.raises(ValueError):
+        match.find(match.Pattern({"a": {}, "b": {}}, []), nodes, edges)
+
+
+def test_repair_by_graph(spark):
+    t = residues.template_graph({"N": "N", "CA": "C", "CB": "C", "C": "C", "O": "O"}, [("N", "CA"), ("CA", "CB"), ("CA", "C"), ("C", "O")])
+    head = "mol_id bigint, node bigint, atomname string, element string, resname string, chain string, resid int, insertion_code string, mutation string"
+    whole = [(0, i, n, e, "ALA", "A", 1, None, None) for i, (n, e) in enumerate([("N", "N"), ("CA", "C"), ("CB", "C"), ("C", "C"), ("O", "O")])]
+    # names all wrong, one atom missing, one atom more
+    odd = [(0, 10 + i, n, e, "ALA", "A", 2, None, None) for i, (n, e) in enumerate([("X1", "N"), ("X2", "C"), ("X3", "C"), ("X4", "O"), ("P9", "P")])]
+    other = [(1, 0, "N", "N", "GLY", "A", 1, None, "ALA"), (1, 1, "CA", "C", "GLY", "A", 1, None, "ALA"), (1, 2, "Q", "S", "GLY", "A", 1, None, "ALA"), (1, 3, "ZN", "Zn", "ION", "A", 9, None, None)]
+    atoms = spark.createDataFrame(whole + odd + other, head)
+    edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 1, 3), (0, 3, 4), (0, 10, 11), (0, 11, 12), (0, 12, 13), (0, 13, 14), (0, 3, 10), (1, 0, 1), (1, 1, 2)], "mol_id bigint, u bigint, v bigint")
+    fixed, bonds, gone = residues.repair_by_graph(atoms, edges, {"ALA": t}, Store(spark))
+    got = {(r["mol_id"], r["node"]): (r["atomname"], r["old_atomname"], r["ptm_atom"], r["resname"]) for r in fixed.collect()}
+    assert [got[0, i][0] for i in range(5)] == ["N", "CA", "CB", "C", "O"]
+    assert [got[0, i][0] for i in (10, 11, 12, 13)] == ["N", "CA", "C", "O"] and got[0, 10][1] == "X1" and got[0, 14] == ("P9", "P9", True, "ALA")
+    assert got[0, 15][0] == "CB" and {got[1, i][0] for i in (4, 5, 6)} == {"C", "CB", "O"} and got[1, 0][3] == "ALA" and got[1, 3] == ("ZN", "ZN", False, "ION")
+    assert rows(gone.select("mol_id", "node")) == [(1, 2)] and (1, 2) not in got
+    made = {(m, *sorted((u, v))) for m, u, v in rows(bonds)}
+    assert (0, 11, 15) in made and (0, 3, 10) in made and (1, 1, 2) not in made and len([x for x in made if x[0] == 1]) == 4
+
+
+def test_modifications_on_the_graph(spark):
+    head = "mol_id bigint, node bigint, atomname string, element string, resid int, ptm_atom boolean"
+    atoms = [(0, 0, "N", "N", 1, False), (0, 1, "P", "P", 1, True), (0, 2, "O1", "O", 1, True), (0, 3, "O1", "O", 1, True), (0, 4, "CA", "C", 2, False), (0, 5, "P", "P", 2, True), (0, 6, "SG", "S", 3, False), (0, 7, "SG", "S", 4, False), (0, 8, "X", "C", 3, True), (1, 1, "P", "P", 7, True), (1, 0, "N", "N", 7, False)]
+    edges = [(0, 0, 1), (0, 1, 2), (0, 1, 3), (0, 4, 5), (0, 6, 8), (0, 7, 8), (1, 0, 1)]
+    known = {
+        "PO2": residues.modification_graph({"N": (False, "N"), "P": (True, "P"), "a": (True, "O"), "b": (True, "O")}, [("N", "P"), ("P", "a"), ("P", "b")]),
+        "PO": residues.modification_graph({"N": (False, "N"), "P": (True, "P"), "a": (True, "O")}, [("N", "P"), ("P", "a")]),
+        "P": residues.modification_graph({"N": (False, "N"), "P": (True, "P")}, [("N", "P")]),
+        "S2": residues.modification_graph({"s": (False, "SG"), "t": (False, "SG"), "c": (True, "C")}, [("s", "c"), ("t", "c")]),
+    }
+    got = residues.identify_modifications(spark.createDataFrame(atoms, head), spark.createDataFrame(edges, "mol_id bigint, u bigint, v bigint"), known, Store(spark))
+    # repeated names are kept apart, an anchor of another name is no match, an anchor may lie in another residue
+    assert rows(got) == [(0, 1, [1], ["PO2"]), (0, 5, [2], None), (0, 8, [3, 4], ["S2"]), (1, 1, [7], ["P"])]
+
+
+def test_links_tell_modifications(spark):
+    from latticework.operators import topology
+    from latticework.sources import rules
+
+    nodes = spark.createDataFrame([(0, 1, "A", 1, ["m"]), (0, 2, "A", 2, None)], "mol_id bigint, node bigint, atomname string, resid int, modifications array<string>")
+    none = spark.createDataFrame([], "mol_id bigint, u bigint, v bigint")
+    for want, hit in ((None, [2]), (["m"], [1]), ("m", [1]), (["m", "k"], [])):
+        link = rules.Template("x")
+        link.nodes = {"A": {"atomname": "A"} | ({"modifications": want} if want else {})}
+        assert [r[0] for r in topology.match_link(link, nodes, none).select("`@A`").collect()] == hit
+
+
+def test_bridges_and_strands(spark):
+    head = "mol_id bigint, node bigint, resname string, atomname string, x double"
+    atoms = spark.createDataFrame([(0, 0, "CYS", "SG", 0.0), (0, 1, "CYS", "SG", 0.2), (1, 0, "CYS", "SG", 0.41), (0, 2, "CYS", "CB", 0.1), (2, 0, "DA5", "N6", 5.0), (3, 0, "DT", "O4", 5.29), (2, 1, "DA", "N1", 5.1), (3, 1, "DT3", "N3", 5.3)], head).withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    bonds = spark.createDataFrame([(0, 0, 2), (2, 0, 1), (3, 0, 1)], "mol_id bigint, u bigint, v bigint")
+    assert rows(network.cysteine_bridges(atoms, bonds).select("mol_a", "u", "mol_b", "v")) == [(0, 0, 0, 1), (0, 1, 1, 0)]
+    assert rows(network.nucleic_strands(atoms, bonds).select("mol_a", "u", "mol_b", "v")) == [(2, 0, 3, 0), (2, 1, 3, 1)]
+    every = spark.createDataFrame([(0, 0, 1), (0, 0, 2)], "mol_id bigint, u bigint, v bigint")
+    assert rows(network.without_bridges(every, atoms)) == [(0, 0, 2)]
+    assert [network.bridge_option(x) for x in ("Auto", "none", " 0.3")] == ["auto", "none", 0.3]
+    with pytest.raises(ValueError):
+        network.bridge_option("near")
 
 
 def test_mapping(spark):

@@ -171,13 +171,6 @@ def test_bonds_repair_contacts(spark):
     assert abs((contacts.sphere() ** 2).sum(axis=1) - 1).max() < 1e-12
 
 
-def test_modifications(spark):
-    atoms = spark.createDataFrame([(0, 0, "N", 1, False), (0, 1, "P", 1, True), (0, 2, "O1", 1, True), (0, 3, "X", 2, True), (0, 4, "CA", 2, False)], "mol_id bigint, node bigint, atomname string, resid int, ptm_atom boolean")
-    edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 3, 4)], "mol_id bigint, u bigint, v bigint")
-    got = topology.identify_modifications(atoms, edges, {"PO": {"atoms": ["P", "O1"]}, "P": {"atoms": ["P"]}}, Store(spark)).orderBy("branch").collect()
-    assert [(r["resids"], r["modifications"]) for r in got] == [([1], ["PO"]), ([2], None)]
-
-
 def test_streaming(spark, tmp_path):
     from latticework.streaming import structures as st
 
