@@ -235,7 +235,7 @@ class ByteTable:
         return gather(self.starts[ids], lens, self.blob).tobytes(), np.cumsum(lens)
 
 
-def slices(texts: list[str], most: int = 1_000_000):
+def slices(texts: list[str], most: int = 400_000):
     """Neighbouring texts of at most so many characters together (one text may be longer): bounds of each slice."""
     lo = size = 0
     for i, t in enumerate(texts):

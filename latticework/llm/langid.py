@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from latticework.llm.flat import distinct_words, mix, slices
 from latticework.llm.piece import MARK, model
-from latticework.llm.runtime import map_frames, prepare, release
+from latticework.llm.runtime import held, map_frames, prepare, release
 
 #: Characters of a word up to which words are scored in blocks of one width.
 LONG, FLOOR = 48, 1e-300
@@ -72,9 +72,9 @@ def learn(rows: DataFrame, path: str, sample_docs: int = 2000, smoothing: float
     got = map_frames(sample, count, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(r["lang"] for r in counts)
     size = len(model(path).width)
-    held = np.zeros((size, len(names)))
-    held[got["piece"].to_numpy(dtype=np.int64), got["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-    p = (held + smoothing) / (held + smoothing).sum(axis=0)
+    seen = np.zeros((size, len(names)))
+    seen[got["piece"].to_numpy(dtype=np.int64), got["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    p = (seen + smoothing) / (seen + smoothing).sum(axis=0)
     return Languages(names, np.log(p), float(np.log(p).min()))
 
 
@@ -228,12 +228,12 @@ class Scorer:
 def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score (the posterior of the best language under equal priors)."""
     spark = prepare(docs.sparkSession)
-    held = spark.sparkContext.broadcast(languages)
+    sent = spark.sparkContext.broadcast(languages)
     key = hash((tuple(languages.names), languages.logp.tobytes()))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        scorer = _cached(path, key, known)
+        known = sent.value
+        scorer = held(("scorer", path, key), lambda: Scorer(path, known))
         names = np.array(known.names, dtype=object)
         for pdf in batches:
             whole = [t if t is not None else "" for t in pdf["text"]]
@@ -254,16 +254,6 @@ def predict(docs: DataFrame, languages: Languages, path: str, keep: tuple[str, .
     return map_frames(picked, run, f"{schema}, lang_pred string, score double")
 
 
-_SCORERS: dict[tuple[str, int], Scorer] = {}
-
-
-def _cached(path: str, key: int, languages: Languages) -> Scorer:
-    if (path, key) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[path, key] = Scorer(path, languages)
-    return _SCORERS[path, key]
-
-
 def identify(docs: DataFrame, path: str, sample_docs: int = 2000) -> DataFrame:
     """Learn from the rows outside the held-out fold, then doc_id, held_out, lang_pred, score of all rows."""
     docs = docs.withColumn("held_out", fold(F.col("doc_id")) == 2)

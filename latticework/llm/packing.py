@@ -21,7 +21,6 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.flat import PairTable, WordMemory, encode_words, gather, slices
-from latticework.llm.runtime import map_frames, plan_bytes, release
+from latticework.llm.runtime import held, map_frames, plan_bytes, release
 
 #: Input bytes for one packer, and the most packers.
 PACKER_BYTES, MOST_PACKERS = 64 << 20, 20_000
@@ -51,8 +50,8 @@ class WordTokens:
         self.size = max(vocab.values()) + 1 + len(spec["added_tokens"])
         suffix = model["end_of_word_suffix"]
         # the usual printable stand-ins for bytes
-        held = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        stand = {b: chr(b) for b in held} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(held)))}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.inner = np.array([vocab[stand[b]] for b in range(256)], dtype=np.int32)
         self.last = np.array([vocab[stand[b] + suffix] for b in range(256)], dtype=np.int32)
         pairs = {}
@@ -153,9 +152,8 @@ class WordTokens:
         return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return held(("words", path), lambda: WordTokens(path))
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 2048, separator: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -172,9 +170,9 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 2048, separator: int = 0,
                 raw = ids.astype("<u4").tobytes()
                 rows, row, a = [], [], 0
                 for i, b in enumerate(ends.tolist(), lo):
-                    held = raw[4 * a : 4 * b] + end
-                    for p, s in enumerate(range(0, len(held), 4 * size)):
-                        x = held[s : s + 4 * size]
+                    whole = raw[4 * a : 4 * b] + end
+                    for p, s in enumerate(range(0, len(whole), 4 * size)):
+                        x = whole[s : s + 4 * size]
                         row.append(i)
                         rows.append((p, s // 4, len(x) // 4, zlib.crc32(x), *([x] if keep_ids else [])))
                     a = b

@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from latticework.llm.flat import ByteTable, PairTable, WordMemory, encode_words, slices, within
-from latticework.llm.runtime import map_frames
+from latticework.llm.runtime import held, map_frames
 
 MARK = "▁"
 
@@ -233,9 +232,9 @@ class PieceModel:
     def encode_aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """encode_flat, and [ids, 2]: the original bytes (of its own text) under each piece. The added first mark has none of its own."""
         if not self.bulk:
-            held = self.lib.encode(texts, num_threads=1)
-            spans = [self._spans(t, np.array(i, dtype=np.int64)) for t, i in zip(texts, held)]
-            return np.array([i for x in held for i in x], dtype=np.int32), np.cumsum([len(x) for x in held], dtype=np.int64), np.concatenate([np.zeros((0, 2), np.int64), *spans])
+            got = self.lib.encode(texts, num_threads=1)
+            spans = [self._spans(t, np.array(i, dtype=np.int64)) for t, i in zip(texts, got)]
+            return np.array([i for x in got for i in x], dtype=np.int32), np.cumsum([len(x) for x in got], dtype=np.int64), np.concatenate([np.zeros((0, 2), np.int64), *spans])
         code, src, doc_end, n_bytes = self.normalize.flat(texts)
         size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         below = np.repeat(src, size)  # the source byte under each normalised byte
@@ -305,9 +304,8 @@ class PieceModel:
         return out
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return held(("piece", path), lambda: PieceModel(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from latticework.plans.store import Store  # noqa: F401
 from latticework.plans.workers import prepare
 
 #: Bytes of one pandas frame that a worker makes of an Arrow batch (one row may be larger); Spark bounds the batch itself.
-FRAME_BYTES = 4 << 20
+FRAME_BYTES = 2 << 20
 
 
 def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
@@ -45,6 +45,18 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return df.mapInArrow(over, schema)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """make(), kept while a worker goes on asking for the same: one heavy model at a time, as workers live on between stages."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
