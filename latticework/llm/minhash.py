@@ -16,7 +16,9 @@ its own and only across components, so that a dense group comes together
 without its pairs being listed. What still stands apart is compared pair by
 pair across components, where sketches of 1024 coordinates agree in 706 (at
 similarity 0.75 some 768 are expected, so 4.5 deviations more); this happens
-block by block inside a task, so only pairs that agree become rows.
+block by block inside a task, so only pairs that agree become rows. In a bucket
+of more than a block the members of the largest component meet those outside
+it only, so a crowd that has come together is sent once a block of outsiders.
 A pair of similarity 0.75 meets in no band with probability 5e-6, a likelier
 one with less.
 
@@ -230,6 +232,16 @@ def _could(n: str, m: str):
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their tile and each other tile they meet. In a crowded bucket the members of its largest component meet only the rest, never one another."""
+    main = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    others = F.coalesce("others", F.lit(1))
+    hashed = F.xxhash64("node")
+    tile = F.when(main, others + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, others))
+    last = F.when(main, others).otherwise(others + F.coalesce("mains", F.lit(0))) - 1
+    return rows.withColumn("tile", tile.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     spark = prepare(docs.sparkSession)
@@ -270,9 +282,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = store.put("rest", split(STARS + 1))
     wide = map_frames(sets.join(rest.select("node").distinct(), "node"), _wide_sketches, "node bigint, wide binary", 256)
     wide = store.put("wide", wide.join(classes.select("node", "bands"), "node"))
-    crowded = rest.groupBy("bucket").count().where(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    dealt = rest.join(wide, "node").join(store.put("crowded", crowded), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    held = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("k"))
+    crowded = held.where(F.col("k") > TILE).select(
+        "bucket", F.col("main.component").alias("main"), F.ceil(F.col("main.k") / TILE).cast("int").alias("mains"), F.ceil((F.col("k") - F.col("main.k")) / TILE).cast("int").alias("others"))
+    dealt = _dealt(rest.join(wide, "node").join(store.put("crowded", crowded), "bucket", "left"))
     dealt = dealt.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")}).select("bucket", "ti", "tj", "tile", "node", "n", "component", "wide", "bands")
     keys = ["bucket", "ti", "tj"]
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)

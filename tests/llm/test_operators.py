@@ -419,3 +419,22 @@ def test_minhash_against_brute_force(spark, monkeypatch):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     k = minhash.sketches(*minhash.shingle_sets([base[0], base[0] + " more", "one"]), 128)
     assert 0.8 < (k[0] == k[1]).mean() <= 1 and (k[2] != 2**64 - 1).all()
+
+
+def test_crowded_buckets_meet_across_components_once(spark):
+    """A crowd in one component is sent once a block of outsiders; every pair across components meets in exactly one block."""
+    tiles = [("a", 7, 3, 2), ("b", None, None, None)]
+    member = [("a", i, 7) for i in range(60)] + [("a", 100 + i, 8 + i % 5) for i in range(12)] + [("b", 200 + i, i // 2) for i in range(6)]
+    rows = spark.createDataFrame(member, "bucket string, node bigint, component bigint")
+    crowded = spark.createDataFrame(tiles, "bucket string, main bigint, mains int, others int")
+    got = minhash._dealt(rows.join(crowded, "bucket", "left")).collect()
+    assert Counter(r["node"] for r in got if r["component"] == 7 and r["bucket"] == "a") == Counter({i: 2 for i in range(60)})
+    blocks = defaultdict(list)
+    for r in got:
+        blocks[r["bucket"], min(r["tile"], r["other"]), max(r["tile"], r["other"])].append(r)
+    met = Counter()
+    for (_, i, j), held in blocks.items():
+        left, right = [r for r in held if r["tile"] == i], [r for r in held if r["tile"] == j]
+        met.update({(min(u["node"], v["node"]), max(u["node"], v["node"])) for u in left for v in right if u["component"] != v["component"]})
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in member for y in member if x[0] == y[0] and x[2] != y[2]}
+    assert met == Counter(dict.fromkeys(want, 1))
