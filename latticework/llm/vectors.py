@@ -3,9 +3,10 @@
 Unit vectors at cosine >= t have squared distance <= 2 - 2t. After a fixed
 rotation a vector is cut into blocks of eight dimensions; by the pigeonhole
 principle a linked pair has, in some block, at most its proportional share of
-that budget. Each block is range-joined on its own: its space is cut at the
-middle of every dimension (medians of a bounded sample), a vector stands in
-one cell and also visits the later cells that its range reaches. All vectors
+that budget. Each block is range-joined on its own: every dimension is cut into
+equal shares of a bounded sample, two sides up to a million vectors of a label
+and more beyond (`sides`), a vector stands in one cell and also visits the
+later cells that its range reaches. All vectors
 met in a cell are checked exactly in double precision, and a pair counts only
 in the first block that holds its share, so it counts once.
 
@@ -51,9 +52,12 @@ def _blocks(dim: int) -> list[tuple[int, int]]:
     return [(i, min(i + BLOCK, dim)) for i in range(0, dim, BLOCK)]
 
 
-@lru_cache(maxsize=BLOCK + 1)
-def _subsets(width: int) -> np.ndarray:
-    return ((np.arange(1 << width)[:, None] >> np.arange(width)) & 1).astype(np.float64)
+def sides(rows: int) -> int:
+    """Sides a dimension is cut into: two, and more once a label's vectors would fill more than TILE rows of every cell."""
+    s = 2
+    while TILE * s**BLOCK < rows:
+        s += 1
+    return s
 
 
 def _unit(raw: Iterable[bytes], kind: str) -> np.ndarray:
@@ -64,14 +68,20 @@ def _unit(raw: Iterable[bytes], kind: str) -> np.ndarray:
 
 def cells(unit: np.ndarray, cuts: np.ndarray, budget: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(block, row, cell, visits) of every cell that a vector stands in or visits."""
-    dim = unit.shape[1]
+    dim, count = unit.shape[1], cuts.shape[1] + 1
     r = unit @ rotation(dim)
+    end = np.full((dim, 1), np.inf)
+    low, high = np.hstack([-end, cuts]), np.hstack([cuts, end])
     for b, (lo, hi) in enumerate(_blocks(dim)):
-        off = r[:, lo:hi] - cuts[lo:hi]
-        own = ((off > 0) << np.arange(hi - lo)).sum(axis=1)
         share = budget * (hi - lo) / dim * (1 + 1e-9) + 1e-15
-        rows, flip = np.nonzero((off**2) @ _subsets(hi - lo).T <= share)
-        cell = own[rows] ^ flip
+        own = np.zeros(len(r), dtype=np.int64)
+        rows, cell, used = np.arange(len(r)), own, np.zeros(len(r))
+        for d in range(lo, hi):  # a cell is reached while the gaps to its sides fit in the share
+            x = r[:, d, None]
+            own = own * count + (x > cuts[d]).sum(axis=1)
+            spent = used[:, None] + (np.maximum(np.maximum(low[d] - x, x - high[d]), 0) ** 2)[rows]
+            at, side = np.nonzero(spent <= share)
+            rows, cell, used = rows[at], cell[at] * count + side, spent[at, side]
         keep = cell >= own[rows]
         yield b, rows[keep], cell[keep], cell[keep] > own[rows][keep]
 
@@ -127,13 +137,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = store.put("classes", rows.where("good").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")))
 
     fit: dict[int, np.ndarray] = {}
-    n = classes.count()
-    sample = classes.where(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)).select("embedding").limit(2 * SAMPLE).collect()
+    n, most = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    cut_at = np.arange(1, sides(most or 0)) / sides(most or 0)
+    sample = classes.where(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n or 0)) * 1_000_000)).select("embedding").limit(2 * SAMPLE).collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r[0]), []).append(np.array(r[0], dtype=kind).tobytes())
     for d, raw in by_dim.items():
-        fit[d] = np.median(_unit(raw, kind) @ rotation(d), axis=0)
+        fit[d] = np.quantile(_unit(raw, kind) @ rotation(d), cut_at, axis=0).T
 
     def place(batches: Iterable[pd.DataFrame], with_vector: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,12 +153,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             for d, part in pdf.groupby(dims):
                 raw = np.array([np.asarray(x, dtype=kind).tobytes() for x in part["embedding"]], dtype=object)
                 label, node, size = (part[c].to_numpy() for c in ("label", "node", "size"))
-                for b, row, cell, visits in cells(_unit(raw, kind), fit.get(d, np.zeros(d)), budget):
+                for b, row, cell, visits in cells(_unit(raw, kind), fit.get(d, np.zeros((d, 1))), budget):
                     out = {"label": label[row], "dim": d, "block": b, "cell": cell}
                     yield pd.DataFrame(out | {"visits": visits, "node": node[row], "size": size[row], "vec": raw[row]} if with_vector else out)
 
     label_type = vectors.schema["label"].dataType.simpleString()
-    key = f"label {label_type}, dim int, block int, cell int"
+    key = f"label {label_type}, dim int, block int, cell bigint"
     crowded = map_frames(classes.select("label", "node", "size", "embedding"), lambda it: place(it, False), key, 500).groupBy("label", "dim", "block", "cell").count().where(F.col("count") > TILE)
     hot = store.put("hot", crowded.select("label", "dim", "block", "cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     placed = map_frames(classes.select("label", "node", "size", "embedding"), lambda it: place(it, True), f"{key}, visits boolean, node bigint, size bigint, vec binary", 500)

@@ -297,9 +297,34 @@ def test_repeats_against_brute_force(spark, forks, monkeypatch):
     assert len([x for v in got.values() for x in v]) == len(docs)
 
 
-@pytest.mark.parametrize("tile", [4096, 20])
-def test_vectors_against_brute_force(spark, tile, monkeypatch):
+def test_sides_grow_with_the_vectors():
+    assert [vectors.sides(n) for n in (0, 4096 * 2**8, 4096 * 2**8 + 1, 4096 * 3**8 + 1)] == [2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("count", [2, 3, 5])
+def test_cells_reach_every_near_vector(count):
+    """Every pair within the budget stands in, or visits, a common cell of the first block that holds its share."""
+    rng = np.random.default_rng(count)
+    base = rng.standard_normal((40, 64))
+    unit = np.repeat(base, 5, axis=0) + 0.1 * rng.standard_normal((200, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    turned = unit @ vectors.rotation(64)
+    cuts = np.quantile(turned, np.arange(1, count) / count, axis=0).T
+    stand = defaultdict(dict)
+    for b, row, cell, visits in vectors.cells(unit, cuts, 0.04):
+        for r, c, v in zip(row.tolist(), cell.tolist(), visits.tolist()):
+            stand[b, r][c] = v
+    x, y = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))
+    assert len(x) > 100
+    for u, v, b in zip(x.tolist(), y.tolist(), vectors._first_block(turned[x] - turned[y], 0.04).tolist()):
+        common = [c for c in stand[b, u] if c in stand[b, v] and not (stand[b, u][c] and stand[b, v][c])]
+        assert len(common) == 1
+
+
+@pytest.mark.parametrize("tile, count", [(4096, 2), (20, 2), (20, 3)])
+def test_vectors_against_brute_force(spark, tile, count, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "sides", lambda rows: count)
     rng = np.random.default_rng(0)
     base = rng.standard_normal(64)
     rows = [(k, [float(x) for x in base + rng.standard_normal(64) * rng.choice([0, 0.05, 0.15, 0.2])], int(k % 2)) for k in range(120)]
