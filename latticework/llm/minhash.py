@@ -301,3 +301,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+#: Distinct sets, pairs that share a shingle, classes by a closure.
+SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM word
+), sized AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM shingles),
+class AS (SELECT k, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM sized WHERE n > 0 GROUP BY k),
+flat AS (SELECT node, n, unnest(s) AS x FROM class),
+pair AS (
+  SELECT a.node AS a, b.node AS b FROM flat a JOIN flat b ON a.x = b.x AND a.node <> b.node
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT node, node AS root FROM class
+  UNION
+  SELECT pair.b, reach.root FROM reach JOIN pair ON pair.a = reach.node WHERE reach.root < pair.b
+), component AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, sized.n::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM sized LEFT JOIN class ON class.k = sized.k AND sized.n > 0 LEFT JOIN component ON component.node = class.node
+"""

@@ -68,4 +68,4 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op3_line_dedup": lines.SQL, "op10_chat_format": chat.SQL}
+SQL = {"op3_line_dedup": lines.SQL, "op5_repeats": repeats.SQL, "op6_embedding_dedup": vectors.SQL, "op9_minhash": minhash.SQL, "op10_chat_format": chat.SQL}

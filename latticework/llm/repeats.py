@@ -358,3 +358,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     joined = rows.join(held, ["k", "k2"], "left").select("doc_id", "text", "runs")
     return map_frames(joined, finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", 500)
+
+
+#: Every 200-byte string by its 128-bit digest, texts as hex in parts so that a string is found near a part's start.
+SQL = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+part AS (SELECT doc_id, f, substring(h, 2 * f + 1, 2 * (1024 + 199)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0), 1024)) AS f FROM doc)),
+start AS (SELECT doc_id, f + i AS p, md5_number(substring(g, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, f, g, unnest(range(0, length(g) // 2 - 199)) AS i FROM part)
+  WHERE i < 1024),
+hit AS (SELECT doc_id, p FROM start WHERE k IN (SELECT k FROM start GROUP BY k HAVING count(*) > 1)),
+island AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+  FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+run AS (SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi FROM island GROUP BY doc_id, r),
+edge AS (SELECT doc_id, lo, hi FROM run UNION ALL SELECT doc_id, n, n FROM doc),
+gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi), 0) AS since FROM edge),
+kept AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) - 1 AS spans, string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo, hi) AS g FROM gap JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(g)) AS kept_sha256 FROM kept JOIN doc USING (doc_id)
+"""

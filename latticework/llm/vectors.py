@@ -205,3 +205,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
+
+#: Every pair of a label by cosine, classes by a closure.
+SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: coalesce(x, 'nan')::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0)
+  WHERE len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.98::DOUBLE * a.n * b.n
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM good
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node WHERE reach.root < link.b
+), component AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN component ON node = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
