@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import mapping, molecules, network, topology
 from latticework.plans import graph
+from latticework.plans.broadcasts import if_small
 from latticework.plans.store import Store
 from latticework.sources import rules, structures
 from latticework.sources import topology as files
@@ -61,7 +62,7 @@ def run(spark: SparkSession, argv: list[str]) -> bool:
     bonds, atoms = topology.make_bonds(atoms, known, store, a.bonds_from in ("name", "both"), a.bonds_from in ("distance", "both"), a.bonds_fudge) if a.bonds_from != "none" else (read["edge"].select("u", "v"), atoms)
     of = atoms.select(F.col("node").alias("u"), "mol_id")
     made = mapping.map_molecules(atoms, bonds.join(of, "u").select("mol_id", "u", "v"), rules.mapping_table(spark, list(maps.values())))
-    block = F.broadcast(to.tables(spark)["block_atom"].select("resname", "atomname", "atype", "charge"))
+    block = if_small(to.tables(spark)["block_atom"].select("resname", "atomname", "atype", "charge"))
     bead = made["bead"].withColumnRenamed("bead_id", "node").join(block, ["resname", "atomname"], "left")
     bead = store.put("bead", bead.withColumns({"resid": F.col("resid").cast("int"), "charge_group": F.col("node") + 1, "atomid": F.col("node") + 1, "mass": F.lit(72.0)}))
     edge = store.put("edge", made["edge"])
@@ -103,7 +104,7 @@ def run(spark: SparkSession, argv: list[str]) -> bool:
 def _block_interactions(ff: rules.ForceField, bead, spark: SparkSession):
     """What each residue's template says, on the beads of every such residue."""
     rows = [(b.name, t, n, list(i.atoms), [str(p) for p in i.params]) for b in ff.blocks.values() for n, (t, i) in enumerate((t, i) for t, held in b.interactions.items() for i in held)]
-    table = F.broadcast(spark.createDataFrame(rows, "resname string, itype string, n int, names array<string>, params array<string>"))
+    table = if_small(spark.createDataFrame(rows, "resname string, itype string, n int, names array<string>, params array<string>"))
     held = bead.select("mol_id", "chain", "resid", "resname").distinct().join(table, "resname").select("*", F.posexplode("names").alias("p", "atomname"))
     right = bead.select("mol_id", F.col("chain").alias("chain_b"), "resid", "resname", "atomname", "node")
     found = held.join(right, ["mol_id", "resid", "resname", "atomname"]).where(F.col("chain").eqNullSafe(F.col("chain_b")))

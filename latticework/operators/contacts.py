@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.plans import radius
+from latticework.plans.broadcasts import if_small
 from latticework.plans.workers import prepare
 
 #: Widening of radii for overlaps, radius of water (Angstrom), points on a sphere.
@@ -39,7 +40,7 @@ def sphere(radius_: float = 1.0) -> np.ndarray:
 
 def with_types(atoms: DataFrame, table: DataFrame) -> DataFrame:
     """Atoms with vrad and ctype by residue and atom name (0 where unknown); table: resname, atomname, vrad, ctype."""
-    return atoms.join(F.broadcast(table), ["resname", "atomname"], "left").fillna({"vrad": 0.0, "ctype": 0})
+    return atoms.join(if_small(table), ["resname", "atomname"], "left").fillna({"vrad": 0.0, "ctype": 0})
 
 
 def overlaps(atoms: DataFrame, on: list[str], largest: float) -> DataFrame:

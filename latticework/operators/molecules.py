@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import predicates as pr
 from latticework.functions.scalars import helix_letters
+from latticework.plans.broadcasts import if_small
 from latticework.plans.components import components
 from latticework.plans.store import Store
 
@@ -42,7 +43,7 @@ def prune_edges(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 def drop_edges_of(edges: DataFrame, gone: DataFrame, ends: tuple[str, ...] = ("u", "v")) -> DataFrame:
     for e in ends:
-        edges = edges.join(gone.select(F.col("node").alias(e)), e, "left_anti")
+        edges = edges.join(gone.select(F.col("node").alias(e)), e, "left_anti").select(*edges.columns)
     return edges
 
 
@@ -54,7 +55,8 @@ def drop_nodes(bundle: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataF
         edge = edge.join(gone.withColumnRenamed("node", e), ["mol_id", e], "left_anti")
     inter = bundle["interaction"]
     touched = inter.select("mol_id", "itype", "seq", F.explode("atoms").alias("node")).join(gone, ["mol_id", "node"], "left_semi").select("mol_id", "itype", "seq").distinct()
-    return bundle | {"atom": atom, "edge": edge, "interaction": inter.join(touched, ["mol_id", "itype", "seq"], "left_anti")}
+    kept = {"atom": atom, "edge": edge, "interaction": inter.join(touched, ["mol_id", "itype", "seq"], "left_anti")}
+    return bundle | {name: df.select(*bundle[name].columns) for name, df in kept.items()}
 
 
 def shape_of(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
@@ -192,7 +194,7 @@ def rename_modified(residues: DataFrame, table: DataFrame) -> DataFrame:
     """New residue names by (resname, sorted modifications); table: resname, modifications, new_resname."""
     have = F.sort_array(F.coalesce("modifications", F.array().cast("array<string>")))
     t = table.select(F.col("resname").alias("__n"), F.sort_array("modifications").alias("__m"), "new_resname")
-    return residues.join(F.broadcast(t), (F.col("resname") == F.col("__n")) & (have == F.col("__m")), "left").withColumn("resname", F.coalesce("new_resname", "resname")).select(*residues.columns)
+    return residues.join(if_small(t), (F.col("resname") == F.col("__n")) & (have == F.col("__m")), "left").withColumn("resname", F.coalesce("new_resname", "resname")).select(*residues.columns)
 
 
 def position_restraints(atoms: DataFrame, select: Column, force: float, functype: int = 1, ifdef: str = "POSRES") -> DataFrame:

@@ -13,6 +13,7 @@ from latticework.functions import scalars as sc
 from latticework.operators import mapping, match, molecules, network, residues
 from latticework.operators import subgraphs as sg
 from latticework.plans import graph, ordered, radius
+from latticework.plans.broadcasts import if_small
 from latticework.plans.components import components
 from latticework.plans.store import Store
 
@@ -307,3 +308,36 @@ def test_networks(spark):
     atoms = spark.createDataFrame([(1, 0, "C", 0.0), (2, 0, "H", 0.11), (3, 1, "H", 0.22), (4, 1, "X", 0.3)], "node bigint, residue int, element string, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     assert rows(network.distance_bonds(network.with_radius(atoms)).select("u", "v")) == [(1, 2)]
     assert rows(network.symmetric(spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a int, b int"))) == [(1, 2)]
+
+
+def test_broadcasts_are_checked(spark):
+    table = spark.createDataFrame([(i, str(i)) for i in range(5)], "a int, b string")
+    many = spark.range(20).select(F.col("id").cast("int").alias("a"))
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(if_small(table)) and hint(if_small(table, 5)) and not hint(if_small(table, 4))
+    for most in (4, 5):
+        assert rows(many.join(if_small(table, most), "a")) == [(i, str(i)) for i in range(5)]
+
+
+def test_merging_whole_molecules(spark):
+    atoms = spark.createDataFrame([(m, n, 1 + n // 2, n + 1, f"m{m}n{n}") for m in range(4) for n in range(3)], "mol_id bigint, node bigint, resid int, charge_group int, atomname string")
+    want = [(0, i, f"m{i // 3}n{i % 3}") for i in range(12)]
+    assert rows(molecules.merge_all(atoms).select("mol_id", "node", "atomname")) == want
+    assert [r["resid"] for r in molecules.merge_all(atoms).orderBy("node").collect()] == [1, 1, 2, 3, 3, 4, 5, 5, 6, 7, 7, 8]
+    edges = spark.createDataFrame([(3, 1), (1, 1)], "mol_a bigint, mol_b bigint")
+    got = rows(molecules.merge_by_edges(atoms, edges, Store(spark)).select("mol_id", "node", "atomname"))
+    assert got == sorted([(m, n, f"m{m}n{n}") for m in (0, 1, 2) for n in range(3)] + [(1, 3 + n, f"m3n{n}") for n in range(3)])
+    assert molecules.merge_all(atoms.limit(0)).count() == 0
+
+
+def test_pruning_and_cascades(spark):
+    edge = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 3, 2), (2, 1, 2)], "mol_id bigint, u bigint, v bigint")
+    atom = edge.select("mol_id", F.explode(F.array("u", "v")).alias("node")).distinct()
+    inter = spark.createDataFrame([(1, "bonds", 0, [0, 1]), (1, "angles", 0, [0, 1, 2]), (1, "bonds", 1, [3]), (2, "bonds", 0, [1, 2])], "mol_id bigint, itype string, seq bigint, atoms array<bigint>")
+    gone = spark.createDataFrame([(1, 1)], "mol_id bigint, node bigint")
+    left = molecules.drop_nodes({"atom": atom, "edge": edge, "interaction": inter, "message": None}, gone)
+    assert rows(left["atom"]) == [(1, 0), (1, 2), (1, 3), (2, 1), (2, 2)] and rows(left["edge"]) == [(1, 3, 2), (2, 1, 2)]
+    assert rows(left["interaction"].select("mol_id", "itype", "seq")) == [(1, "bonds", 1), (2, "bonds", 0)]
+    pick = lambda *n: spark.createDataFrame([(i,) for i in n], "node bigint")
+    one = edge.where("mol_id = 1").select("u", "v")
+    assert rows(molecules.prune_edges(one, pick(2), pick(3))) == [(0, 1), (1, 2)] and rows(molecules.prune_edges(one, pick(0), pick(0))) == rows(one)
